@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table
+from ledgerlens.llm.common import Scratch, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.quality_model import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.near_dedup import near_dedup
 
@@ -34,11 +46,42 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.sharding import compacted, shard_rows
+
+    store = compacted(table(spark, sf_dir, "documents"), Scratch(spark, "shards").root)
+    return shard_rows(store)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.brown_lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_quality_model": op3_quality_model,
+    "op4_extraction": op4_extraction,
     "op5_near_dedup": op5_near_dedup,
     "op6_mixing": op6_mixing,
+    "op7_sharding": op7_sharding,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_brown_lm": op9_brown_lm,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Words of a text in DuckDB; a null text has none.
