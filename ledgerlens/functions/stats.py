@@ -41,6 +41,13 @@ def entropy_of_counts(counts: Sequence[Column], alphabet: int | None = None) ->
     return F.when(total > 0, bits / F.log2(F.lit(float(alphabet))) if alphabet > 1 else F.lit(0.0))
 
 
+def entropy_of_array(counts: Column, alphabet: int) -> Column:
+    """Entropy of an array of counts over log2 of the alphabet; small in generated code whatever the alphabet."""
+    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda s, c: s + c)
+    bits = F.aggregate(counts, F.lit(0.0), lambda s, c: s - F.when(c > 0, c / total * F.log2(c / total)).otherwise(0.0))
+    return F.when(total > 0, bits / F.log2(F.lit(float(alphabet))))
+
+
 def normalized_entropy(count: Column, total: Column) -> Column:
     """Aggregate over a table of value counts: entropy over log2 of the number of values; 0 for one value."""
     p = count / total

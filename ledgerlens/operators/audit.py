@@ -145,7 +145,7 @@ def weekly_stability(tx: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
     week = tx.withColumn("week", F.expr(f"(ts - {start}) div 604800")).filter((F.col("ts") >= start) & (F.col("week") < 4))
     counts = week.groupBy("wallet", "week").agg(F.count("*").alias("n"))
     wallets = tx.select("wallet").distinct()
-    grid = wallets.select("wallet", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("bigint").alias("week")).join(counts, ["wallet", "week"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    grid = wallets.select("wallet", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("week")).join(counts, ["wallet", "week"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     per = grid.groupBy("wallet").agg(F.sum("n").alias("total"), F.var_pop("n").alias("variance"), S.cv(F.col("n").cast("double")).alias("cv"), F.count_if(F.col("n") > 0).alias("active_weeks"))
     a, b = counts.select("wallet", F.col("week").alias("l"), F.col("n").alias("x")), counts.select("wallet", (F.col("week") - 1).alias("l"), F.col("n").alias("y"))
     pairs = a.join(b, ["wallet", "l"]).withColumn("r", F.col("l") + 1)

@@ -42,9 +42,8 @@ def temporal_features(tx: DataFrame) -> DataFrame:
     g = F.col("gap")
     base = gaps(tx).groupBy("wallet").agg(
         F.count("*").alias("n"), F.count(g).alias("g"), F.avg(g).alias("mean"), F.percentile(g, F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias("q"),
-        F.stddev_pop(g).alias("std"), S.cv(g).alias("cv"), S.skewness(g).alias("skew"), S.kurtosis(g).alias("kurt"), S.duration_entropy(g).alias("bins"),
-        S.entropy_of_counts(hours, 24).alias("hour"), S.entropy_of_counts(days, 7).alias("day"),
-        F.greatest(*hours).alias("top_hour"), F.greatest(*days).alias("top_day"),
+        F.stddev_pop(g).alias("std"), S.cv(g).alias("cv"), S.skewness(g).alias("skew"), S.kurtosis(g).alias("kurt"), F.array(*[F.count_if(F.when(g.isNotNull(), S.duration_bin(g)) == k) for k in range(7)]).alias("bins"),
+        F.array(*hours).alias("hours"), F.array(*days).alias("days"),
     )
     s = sessions(tx).groupBy("wallet").agg(F.count("*").alias("sn"), F.avg("duration").alias("sd"), F.median("duration").alias("sm"), F.avg("n").alias("st"), F.max("n").alias("sx"))
     b = bursts(tx).groupBy("wallet").agg(F.count("*").alias("bn"), F.avg("n").alias("bs"), F.max("n").alias("bx"), F.avg("duration").alias("bd"), F.sum("n").alias("bt"))
@@ -54,11 +53,11 @@ def temporal_features(tx: DataFrame) -> DataFrame:
         "transaction_count": F.col("n"), "positive_gap_count": F.col("g"), "interarrival_mean": F.col("mean"), "interarrival_median": F.col("q")[2],
         "interarrival_std": F.col("std"), "interarrival_cv": F.col("cv"), "interarrival_p10": F.col("q")[0], "interarrival_p25": F.col("q")[1],
         "interarrival_p75": F.col("q")[3], "interarrival_p90": F.col("q")[4], "interarrival_skewness": F.col("skew"), "interarrival_kurtosis": F.col("kurt"),
-        "gap_entropy": F.col("bins"), "activity_session_count": F.col("sn"), "mean_session_duration": F.col("sd"), "median_session_duration": F.col("sm"),
+        "gap_entropy": S.entropy_of_array(F.col("bins"), 7), "activity_session_count": F.col("sn"), "mean_session_duration": F.col("sd"), "median_session_duration": F.col("sm"),
         "mean_transactions_per_session": F.col("st"), "max_transactions_per_session": F.col("sx"), "burst_count": zero("bn"),
         "mean_burst_size": zero("bs").cast("double"), "max_burst_size": zero("bx"), "mean_burst_duration": zero("bd").cast("double"),
-        "transactions_in_bursts_ratio": zero("bt") / F.col("n"), "hour_of_day_entropy": F.col("hour"), "weekday_entropy": F.col("day"),
-        "active_hour_concentration": F.col("top_hour") / F.col("n"), "active_day_concentration": F.col("top_day") / F.col("n"),
+        "transactions_in_bursts_ratio": zero("bt") / F.col("n"), "hour_of_day_entropy": S.entropy_of_array(F.col("hours"), 24), "weekday_entropy": S.entropy_of_array(F.col("days"), 7),
+        "active_hour_concentration": F.array_max("hours") / F.col("n"), "active_day_concentration": F.array_max("days") / F.col("n"),
     }
     return gated(rows, values, support_state("temporal", F.col("n"), enough=F.col("g") >= 4))
 
