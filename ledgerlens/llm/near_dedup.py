@@ -5,10 +5,15 @@
    own (optimal densification).  24 bands of 5 bins give the bucket keys.  At a likeness of 0.85 a pair shares no
    bucket with probability (1 - 0.85^5)^24, under 1e-6.
 2. Texts with equal sets are one node, the smallest doc_id with that set.
-3. In each bucket one centre, the node that shares most bucket places with others, is compared with all nodes of other
-   components: a star, not all pairs.  Pairs are confirmed on full sets; confirmed links merge components.  A compared
-   centre leaves its bucket.  Rounds go on, with eight times as many centres a bucket each time, until the nodes left in
-   every bucket are of one component: by then every pair of a bucket was compared, or was already connected.
+3. In each bucket one centre, the node that shares most bucket places with others, is compared with every other node: a
+   star, not all pairs.  Pairs are confirmed on full sets; confirmed links merge components.
+4. Two nodes x and y of a star that are linked, but not through the centre c, share some shingle outside of c: a link
+   needs |x & y| >= 0.85 max(|x|, |y|), and what lies in c is at most |x & c|.  So x is dealt to small buckets of its
+   0.15 |x| + 1 first shingles outside of c (a prefix filter), and, where c holds enough of both for a link inside of c
+   alone, to one for each size that the smaller one may have.  Small buckets with one component are dropped, equal ones
+   kept once.
+5. A small bucket is compared in blocks of at most BLOCK nodes, two blocks in a task, by counting shared shingles in a
+   matrix; a task returns a spanning forest of its links, never pairs.  So every link of every bucket is found.
 
 Everything is joins and aggregates over tables in the shared folder; nothing is collected but counts.
 
@@ -33,6 +38,8 @@ BINS = 128
 BANDS = 24
 ROWS = 5
 SHINGLE = 5
+#: Most nodes on one side of a comparison in a task.
+BLOCK = 256
 
 
 def bin_orders() -> np.ndarray:
@@ -151,34 +158,114 @@ def link(docs: DataFrame, similarity: int = 85, id_col: str = "doc_id", text_col
     full_sets = texts.join(comp.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "node long, members array<long>")
     sets = scratch.put(full_sets, "sets")
     # One row for each text of a node: rows that share a doc_id may differ.
-    scores, comp, centres, done = comp, comp.select("node", "comp"), 1, None
-    while True:
-        live = member.join(comp, "node")
-        if done is not None:
-            live = live.join(done, ["key", "node"], "left_anti")
-        mixed = live.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        live = scratch.put(live.join(mixed, "key"), "live")
-        ranked = live.join(scores.select("node", "score"), "node")
-        star = ranked.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("part")).agg(F.max_by(F.struct("node", "comp"), F.struct("score", -F.col("node"))).alias("at"))
-        star = scratch.put(star.select("key", F.col("at.node").alias("centre"), F.col("at.comp").alias("centre_comp")), "star")
-        if not star.limit(1).count():
-            scratch.drop(live, star)
-            break
-        pairs = live.join(star, "key").filter("comp <> centre_comp").select(F.least("node", "centre").alias("x"), F.greatest("node", "centre").alias("y"), F.when(F.col("node") < F.col("centre"), F.struct(F.col("comp").alias("p"), F.col("centre_comp").alias("q"))).otherwise(F.struct(F.col("centre_comp").alias("p"), F.col("comp").alias("q"))).alias("of")).distinct()
-        left, right = sets.select(F.col("node").alias("x"), F.col("members").alias("s")), sets.select(F.col("node").alias("y"), F.col("members").alias("t"))
-        common = F.size(F.array_intersect("s", "t"))
-        sure = pairs.join(left, "x").join(right, "y").filter(100 * common >= similarity * (F.size("s") + F.size("t") - common))
-        edges = scratch.put(sure.select(F.col("of.p").alias("a"), F.col("of.q").alias("b")).distinct(), "edges")
-        if edges.limit(1).count():
-            comp = components(comp, edges, scratch)
-        now = star.select("key", F.col("centre").alias("node"))
-        done = scratch.put(now if done is None else done.union(now), "done")
-        scratch.drop(live, star, edges)
-        centres *= 8
-    scratch.drop(member, sets)
+    scores, comp = comp, comp.select("node", "comp")
+    left, right = sets.select("node", F.col("members").alias("s")), sets.select(F.col("node").alias("centre"), F.col("members").alias("t"))
+    ranked = member.join(scores.select("node", "score"), "node")
+    star = scratch.put(ranked.groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("centre")), "star")
+    placed = member.join(star, "key").filter("node <> centre")
+    common = F.size(F.array_intersect("s", "t"))
+    sure = placed.select("node", "centre").distinct().join(left, "node").join(right, "centre").filter(100 * common >= similarity * (F.size("s") + F.size("t") - common))
+    comp = components(comp, sure.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), scratch)
+
+    rest = _mixed(placed.select(F.col("centre").alias("key"), "node").distinct().join(comp, "node")).select("key", "node", F.col("key").alias("centre"))
+    small = scratch.put(_mixed(_dealt(rest, left, right, similarity).join(comp, "node")), "small")
+    once = small.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("b"))
+    once = once.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = small.join(once, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp")
+    grouped = dealt.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    edges = grouped.select("key", "i", "j", "comp", "members").mapInArrow(_compare(similarity), "a long, b long")
+    comp = components(comp, edges.distinct(), scratch)
+    scratch.drop(member, sets, small)
     return signed, reps, comp
 
 
+def _forest(comps: np.ndarray, sets: list[np.ndarray], similarity: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links between components of the sets of one group."""
+    if len(sets) < 2 or (comps == comps[0]).all():
+        return []
+    size = np.array([len(x) for x in sets])
+    _, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, kept = np.repeat(np.arange(len(sets)), size), count[back] > 1
+    number = np.cumsum(count > 1) - 1
+    row, column = row[kept], number[back[kept]]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = max(1, (32 << 20) // len(sets))
+    for a in range(0, int(number[-1]) + 1, width):
+        x, y = np.searchsorted(column, (a, a + width))
+        part = np.zeros((len(sets), width if a + width <= number[-1] else int(number[-1]) + 1 - a), np.float32)
+        part[row[x:y], column[x:y] - a] = 1
+        shared += part @ part.T
+    near = 100 * shared >= similarity * (size[:, None] + size[None] - shared)
+    near &= comps[:, None] != comps[None]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    made = []
+    for p, q in zip(*np.nonzero(np.triu(near)), strict=True):
+        a, b = find(int(comps[p])), find(int(comps[q]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            made.append((int(comps[p]), int(comps[q])))
+    return made
+
+
+def _compare(similarity: int):
+    """Compare the rows of each (key, i, j), which come one after the other."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, comps, sets, links = None, [], [], []
+
+        def flush() -> None:
+            if sets:
+                links.extend(_forest(np.array(comps), sets, similarity))
+
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            own, lists = batch.column("comp").to_numpy(), batch.column("members")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for k in range(len(own)):
+                if key is None or (at[k] != key).any():
+                    flush()
+                    key, comps, sets = at[k], [], []
+                comps.append(int(own[k]))
+                sets.append(flat[ends[k] : ends[k + 1]])
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    return compare
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, comp, ...) of the keys that hold two components or more."""
+    keys = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    return rows.join(keys, "key")
+
+
+def _dealt(rest: DataFrame, left: DataFrame, right: DataFrame, similarity: int) -> DataFrame:
+    """(key, node) of the smaller buckets of nodes in the star of a centre; buckets of one node are left out."""
+    inside = F.size(F.array_intersect("s", "t"))
+    least = F.ceil(F.size("s") * similarity / 100).cast("int")
+    both = rest.join(left, "node").join(right, "centre").select("key", "node", "s", inside.alias("inside"), least.alias("least"), F.array_except("s", "t").alias("outside"))
+    length = F.greatest(F.size("outside") - F.greatest(F.col("least") - F.col("inside"), F.lit(1)) + 1, F.lit(0))
+    prefix = F.slice(F.sort_array("outside"), 1, length)
+    # Without a shingle outside of c, |x & y| <= |x & c|: that bounds the size of the smaller one from both sides.
+    size = F.size("s")
+    top = F.least(size, F.floor(F.col("inside") * (100 + similarity) / similarity).cast("int") - size)
+    by_size = F.when(top >= F.col("least"), F.sequence(F.col("least"), top)).otherwise(F.array().cast("array<int>"))
+    keys = F.concat(F.transform(prefix, lambda x: F.xxhash64("key", F.lit("outside"), x)), F.transform(by_size, lambda x: F.xxhash64("key", F.lit("size"), x)))
+    dealt = both.select(F.explode(keys).alias("key"), "node").distinct()
+    shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    return dealt.join(shared, "key")
+
+
 def near_dedup(docs: DataFrame, similarity: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row; similarity in hundredths."""
     signed, reps, comp = link(docs, similarity, id_col, text_col)
