@@ -167,7 +167,8 @@ def plan(runs: list[dict], target: int) -> tuple[list[list[dict]], list[dict]]:
             merges[-1].append(r)
             size += r["bytes"]
         if len(merges) > 1 and len(merges[-1]) == 1:  # no run is rewritten alone
-            merges[-2] += merges.pop()
+            last = merges.pop()
+            merges[-1] += last
         used = {r["name"] for m in merges for r in m}
         return merges, [r for r in runs if r["name"] not in used]
     return [], runs
