@@ -58,10 +58,10 @@ def test_population_hash_ignores_order(spark):
 def test_streaming_sessions(spark, tmp_path):
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate([0, 0, 100, 5000, 900000])] + [(1, 0, 0)], "wallet long, tx long, s long").withColumn("at", F.timestamp_seconds("s"))
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate([10**6, 10**6, 10**6 + 100, 10**6 + 5000, 2 * 10**6])] + [(1, 0, 10**6)], "wallet long, tx long, s long").withColumn("at", F.timestamp_seconds("s"))
     rows.select("wallet", "tx", "at").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("wallet long, tx long, at timestamp").parquet(str(tmp_path / "in"))
     q = live_sessions(stream).writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = sorted((r["started"], r["n"], r["duration"]) for r in spark.sql("select * from live").collect())
-    assert got[:2] == [(0, 3, 100), (5000, 1, 0)]
+    assert got[:2] == [(10**6, 3, 100), (10**6 + 5000, 1, 0)]
