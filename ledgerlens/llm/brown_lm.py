@@ -336,21 +336,21 @@ def train(docs: DataFrame, scratch: Scratch, frequent: int = EXCHANGE, head: int
     counted = texts.mapInArrow(_count_words, "word long, spelling long, n long").groupBy("word").agg(F.min("spelling").alias("spelling"), F.sum("n").alias("n"))
     words = scratch.put(counted, "words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("n"), "word").limit(head).toPandas()
-    hashes, counts = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = words.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    hashes, counts = top["word"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
     few = hashes[:frequent]
-    cells = texts.mapInArrow(_bigrams(few), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = texts.mapInArrow(_bigrams(few), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros((len(few) + 2) ** 2)
-    pairs[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+    pairs[cells["cell"].to_numpy().astype(np.int64)] = cells["n"].to_numpy().astype(np.int64)
     assigned = exchange(pairs.reshape(len(few) + 2, -1), CLASSES, ROUNDS)
-    classes = ClassMap(few, assigned, unpack_spelling(top["spelling"].to_numpy(np.int64)[:frequent]), counts[:frequent])
+    classes = ClassMap(few, assigned, unpack_spelling(top["spelling"].to_numpy().astype(np.int64)[:frequent]), counts[:frequent])
     totals = words.mapInArrow(_classes_of_vocabulary(classes), "class long, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in totals:
         class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
-    cells = texts.mapInArrow(_trigrams(classes), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = texts.mapInArrow(_trigrams(classes), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     trigrams = np.zeros(_STATES**3)
-    trigrams[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+    trigrams[cells["cell"].to_numpy().astype(np.int64)] = cells["n"].to_numpy().astype(np.int64)
     kinds = int(v) + (ends > 0)
     return Model(classes, trigrams, class_n, class_v, hashes, counts, int(n) + ends, kinds, ends), words
 
