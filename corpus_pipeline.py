@@ -14,17 +14,11 @@ from ledgerlens.llm.mixing import emit
 from ledgerlens.llm.near_dedup import near_dedup
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.quality_rules import quality_rules
-from ledgerlens.llm.toxicity import score_toxicity
+from ledgerlens.llm.toxicity import drop_toxic
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of docs whose id is kept, each id and text once; a null id is kept."""
-    ids = verdict.filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(ids, "doc_id", "left_semi").select(*COLUMNS).union(docs.select(*COLUMNS).filter("doc_id is null"))
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that a quality rule rejects go."""
     row = docs.select(F.struct(*COLUMNS).alias("doc_id"), "text")
@@ -33,13 +27,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that score over the threshold of their language go."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, scored.select("doc_id", (~F.col("flagged")).alias("kept")))
+    return drop_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: one document of each group of near-duplicates stays."""
-    return _kept(docs, near_dedup(docs).select("doc_id", "kept"))
+    """Operator 5: one document of each group of near-duplicates stays.
+
+    Rows equal in id and text count once; documents without an id belong to no group and stay.
+    """
+    kept = near_dedup(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = Scratch(spark, "kept").put(kept, "ids")
+    rows = docs.select(*COLUMNS)
+    one = rows.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    if not kept.filter("n > 1").isEmpty():  # repeated ids: the only rows whose texts must meet
+        once = rows.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
+        more = rows.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        one = once.select(*COLUMNS).union(more.select(*COLUMNS))
+    return one.union(rows.filter("doc_id is null"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
