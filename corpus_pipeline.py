@@ -22,7 +22,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that a quality rule rejects go."""
     row = docs.select(F.struct(*COLUMNS).alias("doc_id"), "text")
-    return quality_rules(row).filter("kept").select("doc_id.*")
+    judged = quality_rules(row).select("doc_id", "kept", F.monotonically_increasing_id().alias("at"))
+    # The row number holds the filter above the projections: pushed below them, it would compute each statistic many times.
+    return judged.filter("kept and at >= 0").select("doc_id.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
