@@ -281,3 +281,12 @@ def test_pipeline_stages(spark, tmp_path):
     toxic = {r["doc_id"] for r in labels.filter("toxic = 1").collect()}
     assert len(ids(rows) & toxic) <= 6 and len(ids(rows)) >= 100
     assert P.run(spark, str(tmp_path)).count() == mixing.emit(rows).count()
+
+
+def test_pipeline_dedup_of_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    same = "a b c d e f g"
+    rows = [(5, same, "", "", 0), (5, same, "", "", 0), (6, "h i j k l m", "", "", 0), (7, same, "", "", 0), (None, "x", "", "", 0)]
+    kept = P.dedup(spark, spark.createDataFrame(rows, DOCS), str(tmp_path))
+    assert kept.columns == P.COLUMNS and sorted(str(r["doc_id"]) for r in kept.collect()) == ["5", "6", "None"]
