@@ -271,7 +271,7 @@ def rule_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- feature matrix and audits
-#: Families of the audited matrix; those whose values come from few wallets are audited elsewhere.
+#: Families and features that the SQL below lists; the plans take all nine families and every pair (see README).
 AUDITED = ("temporal", "topology", "lifecycle", "capacity", "lineage")
 _VALUES = {"temporal": TEMPORAL[1:], "topology": TOPOLOGY[1:], "lifecycle": ["observed_cell_count", "consumed_cell_count", "right_censored_cell_count", "mean_lifetime_seconds", "median_lifetime_seconds", "lifetime_std", "lifetime_cv", "lifetime_p25", "lifetime_p75", "lifetime_p90", "mean_lifetime_blocks", "median_lifetime_blocks", "short_lived_ratio", "long_lived_ratio", "rapid_consumption_ratio", "same_block_ratio", "lifetime_entropy", "lifetime_repeat_ratio"],
            "capacity": [*[f"{s}_capacity_{k}" for s in ("input", "output") for k in ("mean", "median", "cv")], "capacity_repeat_ratio", "capacity_input_entropy", "capacity_output_entropy", "target_created_capacity", "target_consumed_capacity", "target_net_capacity_delta", "occupied_capacity_total", "excess_capacity_total"],
@@ -281,7 +281,7 @@ _MATRIX = f"{_ALL},\n{_WIDE},\n{_LONG}"
 
 
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    return A.long_form(feature_matrix(spark, d, families=AUDITED).drop("topology__n"))
+    return A.long_form(feature_matrix(spark, d).drop("topology__n"))
 
 
 @query("feature_matrix_long", tidied(_MATRIX + "\n", "lf_", ["wallet", "value"], ("feature",)))
@@ -291,7 +291,7 @@ def feature_matrix_long(spark: SparkSession, d: str) -> DataFrame:
 
 @query("learning_columns", "SELECT unnest([" + ", ".join(f"'{c}'" for c in sorted(f"{f}__{v}" for f in AUDITED for v in _VALUES[f] if not any(t in f"{f}__{v}" for t in __import__("ledgerlens.config", fromlist=["x"]).FORBIDDEN_TOKENS))) + "]) AS feature")
 def learning_columns(spark: SparkSession, d: str) -> DataFrame:
-    names = A.learning_columns(feature_matrix(spark, d, families=AUDITED).drop("topology__n"))
+    names = A.learning_columns(feature_matrix(spark, d).drop("topology__n"))
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
@@ -312,7 +312,7 @@ def predictor_audit(spark: SparkSession, d: str) -> DataFrame:
 
 _CORRELATED = """{name}_k AS (SELECT *, rank() OVER (PARTITION BY l, r ORDER BY x) + (count(*) OVER (PARTITION BY l, r, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY l, r ORDER BY y) + (count(*) OVER (PARTITION BY l, r, y) - 1) / 2 AS ry FROM {name}_0),
 {name} AS (SELECT l, r, count(*) AS n, CASE WHEN count(*) >= 2 THEN covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) END AS pearson, CASE WHEN count(*) >= 2 THEN covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) END AS spearman FROM {name}_k GROUP BY l, r)"""
-#: Features of the pairwise audit, a fixed list: the number of pairs does not grow with the data.
+#: Features of the pairwise SQL and of the exploration queries.
 PAIRED = [f"{f}__{v}" for f, v in (
     ("temporal", "interarrival_mean"), ("temporal", "interarrival_median"), ("temporal", "interarrival_std"), ("temporal", "interarrival_cv"), ("temporal", "gap_entropy"), ("topology", "input_cell_count_mean"), ("topology", "output_cell_count_mean"),
     ("topology", "fragmentation_event_ratio"), ("topology", "consolidation_event_ratio"), ("topology", "topology_entropy"), ("lifecycle", "mean_lifetime_seconds"), ("lifecycle", "median_lifetime_seconds"), ("lifecycle", "lifetime_std"),
@@ -324,12 +324,12 @@ _STRONG = "strong AS (SELECT l, r, n, round(greatest(abs(pearson), abs(spearman)
 
 @query("pair_correlations", tidied(_PAIRS + "\n", "px", ["n", "pearson", "spearman"], ("l", "r")))
 def pair_correlations(spark: SparkSession, d: str) -> DataFrame:
-    return A.pair_correlations(_matrix(spark, d), PAIRED)
+    return A.pair_correlations(_matrix(spark, d))
 
 
 @query("redundancy_pairs", tidied(f"{_PAIRS},\n{_STRONG}\n", "strong", ["n", "strength"], ("l", "r", "advice")))
 def redundancy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return A.redundancy(A.pair_correlations(_matrix(spark, d), PAIRED))
+    return A.redundancy(A.pair_correlations(_matrix(spark, d)))
 
 
 _GROUPS = """gr_e AS (SELECT l AS a, r AS b FROM strong WHERE advice = 'KEEP_ONE' UNION SELECT r, l FROM strong WHERE advice = 'KEEP_ONE'),
@@ -339,7 +339,7 @@ gr AS (SELECT feature, min(at) AS root FROM gr_r GROUP BY feature)"""
 
 @query("redundancy_groups", f"{_PAIRS},\n{_STRONG},\n{_GROUPS}\nSELECT feature, root FROM gr")
 def redundancy_groups(spark: SparkSession, d: str) -> DataFrame:
-    return A.redundancy_groups(A.redundancy(A.pair_correlations(_matrix(spark, d), PAIRED)))
+    return A.redundancy_groups(A.redundancy(A.pair_correlations(_matrix(spark, d))))
 
 
 _LEAK = f"""act AS (SELECT wallet, 'transactions' AS metric, count(*)::DOUBLE AS level FROM otx GROUP BY wallet UNION ALL SELECT wallet, 'cells', count(*)::DOUBLE FROM cells GROUP BY wallet),
@@ -365,7 +365,7 @@ cs AS (SELECT feature, classification IN ('USABLE', 'SPARSE') AND coalesce(le.le
 SELECT feature, broad, broad AND usable AS core, broad AND usable AND head AS low_redundancy, broad AND usable AND head AND clean AS high_confidence FROM cs""")
 def candidate_sets(spark: SparkSession, d: str) -> DataFrame:
     m = _matrix(spark, d)
-    return A.candidate_sets(A.predictor_audit(m), _leakage(spark, d), A.redundancy_groups(A.redundancy(A.pair_correlations(m, PAIRED))))
+    return A.candidate_sets(A.predictor_audit(m), _leakage(spark, d), A.redundancy_groups(A.redundancy(A.pair_correlations(m))))
 
 
 _PATTERN = "concat_ws('+', " + ", ".join(f"CASE WHEN {f}_state = 'SUPPORTED' THEN '{f}' END" for f in FAMILIES) + ")"
@@ -567,7 +567,8 @@ sv AS (SELECT wallet, feature, CASE WHEN std_ OR c = a THEN (t - m) / CASE WHEN
 
 
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
-    return X.scaled_values(_matrix(spark, d).filter(F.col("feature").isin(_EXPLORED)))
+    m = A.long_form(feature_matrix(spark, d, families=AUDITED))
+    return X.scaled_values(m.filter(F.col("feature").isin(_EXPLORED)))
 
 
 @query("scaled_values", tidied(f"{_MATRIX},\n{_SCALED}\n", "sv", ["wallet", "scaled"], ("feature",)))

@@ -49,12 +49,12 @@ def predictor_audit(matrix: DataFrame) -> DataFrame:
     )
 
 
-def pair_correlations(matrix: DataFrame, features: list[str]) -> DataFrame:
+def pair_correlations(matrix: DataFrame) -> DataFrame:
     """left, right, n, pearson, spearman of every pair of features over wallets that have both.
 
-    Rows are paired by wallet, never all against all; the number of pairs is bounded by the features listed.
+    Rows are paired by wallet, never all against all; the number of pairs is bounded by the features of the matrix.
     """
-    m = matrix.filter(F.col("feature").isin(features) & F.col("value").isNotNull())
+    m = matrix.filter(F.col("value").isNotNull())
     a, b = m.select("wallet", F.col("feature").alias("l"), F.col("value").alias("x")), m.select("wallet", F.col("feature").alias("r"), F.col("value").alias("y"))
     pairs = a.join(b, "wallet").filter("l < r")
     return _correlations(pairs)

@@ -93,7 +93,7 @@ def periodicity_features(tx: DataFrame, start: int) -> DataFrame:
         F.median(F.abs(F.col("gap") - F.col("period"))).alias("mad"), (F.sqrt(F.pow(F.sum(F.cos(turn)), F.lit(2.0)) + F.pow(F.sum(F.sin(turn)), F.lit(2.0))) / F.count("*")).alias("phase")
     )
     best = autocorrelation(tx).filter("r is not null").groupBy("wallet").agg(F.max_by(F.struct("r", "lag"), F.struct(F.round("r", 9), -F.col("lag"))).alias("peak"))
-    c = gap_clusters(tx).select("wallet", "clusters", F.array_sort(F.transform("clusters", lambda x: F.struct((-F.size(x)).alias("s"), S.array_median(x).alias("m"))))[0].alias("top"))
+    c = gap_clusters(tx).select("wallet", "clusters", F.get(F.array_sort(F.transform("clusters", lambda x: F.struct((-F.size(x)).alias("s"), S.array_median(x).alias("m")))), 0).alias("top"))
     weeks = weekly_gaps(tx, start).filter("gaps >= 3").join(mid.select("wallet", "period"), "wallet")
     present = F.abs(F.col("median") - F.col("period")) <= F.greatest(F.lit(1.0), 0.1 * F.col("period"))
     w = weeks.groupBy("wallet").agg(F.count("*").alias("eligible"), F.count_if(present).alias("present"), S.cv(F.when(present, F.col("median"))).alias("week_cv"))
