@@ -16,6 +16,8 @@ from ledgerlens.llm.packing import pack
 from ledgerlens.llm.quality_rules import quality_rules
 from ledgerlens.llm.toxicity import drop_toxic
 
+#: Likeness, in hundredths, from which the dedup stage holds documents for near-duplicates; 85 binds the query of op5 alone.
+SIMILARITY = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -37,7 +39,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows equal in id and text count once; documents without an id belong to no group and stay.
     """
-    kept = near_dedup(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = near_dedup(docs, SIMILARITY).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = Scratch(spark, "kept").put(kept, "ids")
     rows = docs.select(*COLUMNS)
     one = rows.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)

@@ -1,9 +1,9 @@
 """Operator 5, MinHash near-dedup: one-permutation hashing, optimal densification, bands, star-shaped candidates.
 
-1. Every whole text gives its set of distinct 5-word shingles as 64-bit hashes.  The top 7 bits of a hash are its
-   bin, the least hash of a bin its value; an empty bin copies the first filled bin in a fixed random order of its
-   own (optimal densification).  24 bands of 5 bins give the bucket keys.  At a likeness of 0.85 a pair shares no
-   bucket with probability (1 - 0.85^5)^24, under 1e-6.
+1. Every whole text gives its set of distinct 5-word shingles as 64-bit hashes.  The top 7 or 8 bits of a hash are
+   its bin, the least hash of a bin its value; an empty bin copies the first filled bin in a fixed random order of its
+   own (optimal densification).  Bands of 5 bins give the bucket keys: 24 of 128 at a likeness of 0.85, 35 of 256 at
+   0.8: the fewest with which a pair at that likeness shares no bucket with probability under 1e-6.
 2. Texts with equal sets are one node, the smallest doc_id with that set.
 3. In each bucket one centre, the node that shares most bucket places with others, is compared with every other node: a
    star, not all pairs.  Pairs are confirmed on full sets; confirmed links merge components.
@@ -24,7 +24,9 @@ a null id has a null component and is kept; an empty table gives an empty result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,45 +37,54 @@ from ledgerlens.llm.common import Scratch
 from ledgerlens.llm.words import U, Words, chunks, constants, mix, shingles
 
 BINS = 128
-BANDS = 24
 ROWS = 5
+#: A pair at the threshold shares no bucket with a probability under this.
+MISS = 1e-6
 SHINGLE = 5
 #: Most nodes on one side of a comparison in a task.
 BLOCK = 256
 
 
-def bin_orders() -> np.ndarray:
-    """For each bin all bins in a random order of its own."""
-    return mix(np.arange(BINS * BINS, dtype=np.uint64) + U(7)).reshape(BINS, BINS).argsort(1)
+def bands_for(similarity: int) -> int:
+    """Fewest bands with which a pair at the threshold is missed with probability under MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-((similarity / 100) ** ROWS))) if similarity < 100 else 1
+
 
+def bins_for(bands: int) -> int:
+    """Least power of two, BINS or more, with a bin for each row of each band."""
+    return max(BINS, 1 << (bands * ROWS - 1).bit_length())
 
-_ORDER = bin_orders()
-_SHIFT = U(64 - BINS.bit_length() + 1)
-_MULTIPLY = constants(BANDS * ROWS, 5).reshape(BANDS, ROWS)
+
+@cache
+def bin_orders(bins: int) -> np.ndarray:
+    """For each bin all bins in a random order of its own."""
+    return mix(np.arange(bins * bins, dtype=np.uint64) + U(7)).reshape(bins, bins).argsort(1)
 
 
-def one_permutation(distinct: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def one_permutation(distinct: np.ndarray, begin: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Densified signatures of sets given as one array, each set sorted and not empty, begin[i] to begin[i + 1]."""
-    cell = np.repeat(np.arange(len(begin) - 1) * BINS, np.diff(begin)) + (distinct >> _SHIFT).astype(np.int64)
+    cell = np.repeat(np.arange(len(begin) - 1) * bins, np.diff(begin)) + (distinct >> U(64 - bins.bit_length() + 1)).astype(np.int64)
     head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, int)
-    signature, filled = np.zeros((len(begin) - 1) * BINS, np.uint64), np.zeros((len(begin) - 1) * BINS, bool)
+    order = bin_orders(bins)
+    signature, filled = np.zeros((len(begin) - 1) * bins, np.uint64), np.zeros((len(begin) - 1) * bins, bool)
     signature[cell[head]] = distinct[head]
     filled[cell[head]] = True
     empty = np.flatnonzero(~filled)
-    for turn in range(BINS):
+    for turn in range(bins):
         if not len(empty):
             break
-        tried = empty - empty % BINS + _ORDER[empty % BINS, turn]
+        tried = empty - empty % bins + order[empty % bins, turn]
         found = filled[tried]
         signature[empty[found]] = signature[tried[found]]
         empty = empty[~found]
-    return signature.reshape(-1, BINS)
+    return signature.reshape(-1, bins)
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
+def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     """One bucket key for each band of each signature."""
-    rows = signatures[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
-    return mix((rows * _MULTIPLY).sum(2, dtype=np.uint64) ^ _MULTIPLY[:, 0])
+    multiply = constants(bands * ROWS, 5).reshape(bands, ROWS)
+    rows = signatures[:, : bands * ROWS].reshape(-1, bands, ROWS)
+    return mix((rows * multiply).sum(2, dtype=np.uint64) ^ multiply[:, 0])
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> list[np.ndarray]:
@@ -92,24 +103,29 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in chunks(batch, "text"):
-            sets = shingle_sets(batch.column("text").slice(a, b - a))
-            size = np.array([len(s) for s in sets], np.int64)
-            full = np.flatnonzero(size)
-            begin = np.concatenate([[0], np.cumsum(size[full])])
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            keys = band_keys(one_permutation(flat, begin))
-            prints = np.zeros((2, len(sets)), np.uint64)
-            for k, m in enumerate((U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)) if len(full) else ()):
-                prints[k, full] = np.add.reduceat(mix(flat * m), begin[:-1])
-            ends = np.concatenate([[0], np.cumsum((size > 0) * BANDS)]).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array(size), *(pa.array(p.view(np.int64)) for p in prints), bands],
-                ["doc_id", "n_shingles", "print_a", "print_b", "bands"],
-            )
+def _sign(bands: int):
+    """Set size, fingerprint and bucket keys of each text."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch, "text"):
+                sets = shingle_sets(batch.column("text").slice(a, b - a))
+                size = np.array([len(s) for s in sets], np.int64)
+                full = np.flatnonzero(size)
+                begin = np.concatenate([[0], np.cumsum(size[full])])
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                keys = band_keys(one_permutation(flat, begin, bins_for(bands)), bands)
+                prints = np.zeros((2, len(sets)), np.uint64)
+                for k, m in enumerate((U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)) if len(full) else ()):
+                    prints[k, full] = np.add.reduceat(mix(flat * m), begin[:-1])
+                ends = np.concatenate([[0], np.cumsum((size > 0) * bands)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array(size), *(pa.array(p.view(np.int64)) for p in prints), listed],
+                    ["doc_id", "n_shingles", "print_a", "print_b", "bands"],
+                )
+
+    return sign
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +161,7 @@ def link(docs: DataFrame, similarity: int = 85, id_col: str = "doc_id", text_col
     """(signed, reps, comp): every row's set size and fingerprint; node of each fingerprint; component of each linked node."""
     scratch = Scratch(docs.sparkSession, "dedup")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.put(texts.mapInArrow(_sign, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"), "signed")
+    signed = scratch.put(texts.mapInArrow(_sign(bands_for(similarity)), "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"), "signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     reps = scratch.put(full.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "reps")
 
