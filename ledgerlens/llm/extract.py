@@ -1,7 +1,8 @@
 """Operator 4, HTML extraction by line-block distribution.
 
 1. Strip markup: a tag scanner drops comments, scripts, styles, forms and page furniture (by element, role, class or
-   id), and starts a new line at every block element.  Furniture leaves empty lines behind.
+   id), and starts a new line at every block element.  Furniture leaves empty lines behind, except between texts
+   of the same block.
 2. Each line has the length of its text, less the text of its links; a sliding window of three lines sums them.
 3. A surge point is a line whose window rises from zero to text, a dive point where the window falls back to zero.
    The text between them is one run.  The longest run holds the article; a run whose densest window reaches a fifth
@@ -34,6 +35,8 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td "
     "tfoot th thead title tr ul".split()
 )
+#: Blocks that hold text alone: their parent tells where the text belongs.
+_TEXT = frozenset("p pre h1 h2 h3 h4 h5 h6".split())
 #: Elements whose content is never article text; the raw ones hold no tags of their own.
 _RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 _DROP = frozenset("head nav header footer aside form button select option input label noscript template svg canvas object audio video dialog menu".split())
@@ -49,7 +52,8 @@ _NAMES = frozenset(
     "tags toolbar search form copyright disclaimer".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute, with its whole value: words inside of a value are no attributes.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -66,28 +70,39 @@ def _furniture(tag: str, attributes: str) -> bool:
         elif name == "hidden" or name == "aria-hidden":
             if name == "hidden" or value.lower() == "true":
                 return True
-        elif tag not in ("html", "body", "article", "main") and any(p.lower() in _NAMES for p in _NAME_PARTS.findall(value)):
+        elif name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(p.lower() in _NAMES for p in _NAME_PARTS.findall(value)):
             return True
     return False
 
 
 def _main(tag: str, attributes: str) -> bool:
-    return tag in ("article", "main") or bool(attributes) and bool(re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes, re.I))
+    if tag in ("article", "main"):
+        return True
+    found = _ATTRIBUTE.findall(attributes) if "role" in attributes.lower() else []
+    return any(name.lower() == "role" and re.match(r"\s*(?:main|article)\b", a or b or c, re.I) for name, a, b, c in found)
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "inside")
+    __slots__ = ("parts", "linked", "inside", "gap", "parents")
 
-    def __init__(self, inside: bool):
+    def __init__(self, inside: bool, gap: bool = False):
         self.parts: list[str] = []
         self.linked = 0
         self.inside = inside
+        self.gap = gap
+        #: The blocks around the first and the last text of the line.
+        self.parents: tuple[int, int] | None = None
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside the named article) of every line; furniture outside an article gives empty lines."""
+    """(text, weight, inside the named article) of every line.
+
+    Furniture outside an article gives empty lines, unless the texts before and after it lie in the same block.
+    """
     made: list[_Line] = [_Line(False)]
     stack: list[str] = []
+    numbers: list[int] = []  # a number of its own for each element of the stack; may be longer than the stack
+    opened = 0
     dropped = 0  # depth of the stack at which furniture began
     inside = links = 0
     inside_at: list[int] = []
@@ -97,6 +112,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if b > a and not dropped:
             piece = references.unescape(page[a:b]) if "&" in (raw := page[a:b]) else raw
             made[-1].parts.append(piece)
+            if not piece.isspace():
+                own = next((numbers[i] for i in range(len(stack) - 1, -1, -1) if stack[i] in _BLOCK and stack[i] not in _TEXT), 0)
+                made[-1].parents = (made[-1].parents or (own,))[0], own
             if links:
                 made[-1].linked += len(piece.strip())
 
@@ -126,7 +144,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     if dropped and len(stack) < dropped:
                         dropped = 0
                         if not inside:
-                            made.extend(_Line(False) for _ in range(WINDOW + 1))
+                            made.extend(_Line(False, True) for _ in range(WINDOW + 1))
                     if top == "a":
                         links = max(0, links - 1)
                     if inside_at and len(stack) < inside_at[-1]:
@@ -148,7 +166,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     links = max(0, links - 1)
             if stack and stack[-1] == "p":
                 stack.pop()
+        opened += 1
+        del numbers[len(stack) :]
         stack.append(tag)
+        numbers.append(opened)
         if dropped:
             continue
         if _furniture(tag, attributes):
@@ -160,10 +181,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             inside += 1
             inside_at.append(len(stack))
             fresh()
-    out = []
+    out: list[tuple[str, int, bool]] = []
+    last, gap, filled = None, False, 0  # block of the last text, furniture since then, lines up to it
     for line in made:
         joined = " ".join("".join(line.parts).split())
+        gap |= line.gap
+        if joined and line.parents:
+            if gap and last == line.parents[0]:
+                del out[filled:]
+            last, gap = line.parents[1], False
         out.append((joined, max(0, len(joined) - line.linked), line.inside))
+        if joined:
+            filled = len(out)
     return out
 
 
