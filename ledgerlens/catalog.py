@@ -591,8 +591,8 @@ def pca_variance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pca_stability")
 def pca_stability(spark: SparkSession, d: str) -> DataFrame:
-    b = X.pca_bootstrap(_scaled(spark, d), 100)
-    return b.groupBy(F.col("component").alias("k")).agg(F.count("*").alias("n"), F.median("cosine").alias("median"), F.min("cosine").alias("low"))
+    b = X.pca_bootstrap(_scaled(spark, d))
+    return b.groupBy(F.col("component").alias("k")).agg(F.count("*").alias("n"), F.median("cosine").alias("median"), F.min("cosine").alias("low"), F.avg(F.col("in_order").cast("double")).alias("order_retention"))
 
 
 @query("density_grid")
