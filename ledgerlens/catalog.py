@@ -639,4 +639,9 @@ def effect_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("profile_document")
 def profile_document(spark: SparkSession, d: str) -> DataFrame:
+    return D.documents(feature_matrix(spark, d))
+
+
+@query("profile_page")
+def profile_page(spark: SparkSession, d: str) -> DataFrame:
     return D.page(D.documents(feature_matrix(spark, d)), 1, 50)
