@@ -6,6 +6,7 @@ share.  Writing one cuts the lineage: a lost executor costs the re-run of a stag
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,16 +19,24 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a local one is set only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(spark.sparkContext, "_ledgerlens_dir", None)
+    """The folder shared by driver and executors: spark.checkpoint.dir.
+
+    Only a local master, whose executor is the driver itself, may go without: it gets a temporary folder.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_ledgerlens_dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.sparkContext._ledgerlens_dir = found
+        context._ledgerlens_dir = found
     return found.rstrip("/")
 
 
+#: While it is on, Spark deletes the shuffle files of a write as soon as the write has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables that one operator call writes below the shared folder."""
 
@@ -43,7 +52,12 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write the rows and return a DataFrame that reads them back."""
         path = self.path(name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
