@@ -1,7 +1,8 @@
 """Operator 1, quality rules: a threshold table compiled into one Spark projection, without user functions.
 
 Everything is per row: no join, no shuffle and no Python worker.  Repeated 8-word windows are found by hashing
-(pairs, then fours, then eights of word hashes); only texts in which some window repeats sort their windows.
+(pairs, then fours, then eights of word hashes); only texts in which some window repeats sort their windows.  A row number
+holds a caller's filter above the statistics: pushed below them, it would compute each of them many times.
 
 Defined results: a null text counts as an empty one (no words, base_failed); a null id keeps its row; equal rows get
 equal results; an empty table gives an empty result; columns other than id and text are not read or returned.
@@ -73,7 +74,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeats = F.size(F.array_distinct("h")) < F.size("h")
     windows = windows.select(*rest, F.when(repeats, F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("order"))
     windows = windows.select(*rest, F.when(F.col("order").isNotNull(), repeated_positions("order")).alias("at"))
-    return windows.select(*rest, F.coalesce(F.when(F.col("at").isNotNull(), covered("at", 8)), F.lit(0).cast("long")).alias("n_repeat_words"))
+    counted = windows.select(*rest, F.coalesce(F.when(F.col("at").isNotNull(), covered("at", 8)), F.lit(0).cast("long")).alias("n_repeat_words"), F.monotonically_increasing_id().alias("_row"))
+    return counted.filter("_row >= 0").drop("_row")
 
 
 def compile_rules(rules: list[tuple[str, str, float | None, float | None]]) -> list[Column]:
