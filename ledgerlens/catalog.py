@@ -147,28 +147,28 @@ def transaction_shapes(spark: SparkSession, d: str) -> DataFrame:
     return C.shapes(order_stream(spark, d), cell_graph(spark, d)).select("wallet", "tx", "i", "o", "external_in", "external_out", "topology")
 
 
-@query("capacity_features", tidied(Q.with_(*_CELLS, Q.capacity()), "f_capacity", [
+@query("capacity_features", tidied(Q.with_(*_CELLS, Q.capacity()), "f_capacity", CAPACITY := [
     "wallet", *[f"{s}_capacity_{k}" for s in ("input", "output") for k in ("mean", "median", "cv")], "capacity_repeat_ratio", "capacity_input_entropy", "capacity_output_entropy", "target_created_capacity",
     "target_consumed_capacity", "target_net_capacity_delta", "occupied_capacity_total", "excess_capacity_total"], ("support_state",)))
 def capacity_features(spark: SparkSession, d: str) -> DataFrame:
     return C.capacity_features(cell_graph(spark, d))
 
 
-@query("script_features", tidied(Q.with_(*_CELLS, Q.scripts()), "f_scripts", [
+@query("script_features", tidied(Q.with_(*_CELLS, Q.scripts()), "f_scripts", SCRIPTS := [
     "wallet", "unique_lock_script_count", "unique_type_script_count", "lock_family_count", "type_family_count", "lock_family_entropy", "type_family_entropy", "dominant_lock_family_ratio", "dominant_type_family_ratio",
     "unknown_lock_ratio", "unknown_type_ratio", "script_repeat_ratio", "script_transition_entropy", "script_coverage"], ("support_state",)))
 def script_features(spark: SparkSession, d: str) -> DataFrame:
     return C.script_features(cell_graph(spark, d))
 
 
-@query("typed_asset_features", tidied(Q.with_(*_CELLS, Q.typed_assets()), "f_typed_assets", [
+@query("typed_asset_features", tidied(Q.with_(*_CELLS, Q.typed_assets()), "f_typed_assets", TYPED_ASSETS := [
     "wallet", "typed_asset_count", "asset_diversity", "typed_cell_ratio", "token_input_total", "token_output_total", "net_token_delta", "token_turnover", "repeated_token_amount_ratio", "token_amount_entropy",
     "token_fanout_ratio", "token_fanin_ratio"], ("support_state",)))
 def typed_asset_features(spark: SparkSession, d: str) -> DataFrame:
     return C.typed_asset_features(cell_graph(spark, d))
 
 
-@query("lifecycle_features", tidied(Q.with_(*_CELLS, Q.lifecycle()), "f_lifecycle", [
+@query("lifecycle_features", tidied(Q.with_(*_CELLS, Q.lifecycle()), "f_lifecycle", LIFECYCLE := [
     "wallet", "observed_cell_count", "consumed_cell_count", "right_censored_cell_count", "mean_lifetime_seconds", "median_lifetime_seconds", "lifetime_std", "lifetime_cv", "lifetime_p25", "lifetime_p75", "lifetime_p90",
     "mean_lifetime_blocks", "median_lifetime_blocks", "short_lived_ratio", "long_lived_ratio", "rapid_consumption_ratio", "same_block_ratio", "lifetime_entropy", "lifetime_repeat_ratio"], ("support_state",)))
 def lifecycle_features(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +185,7 @@ def continuations(spark: SparkSession, d: str) -> DataFrame:
     return C.continuations(cell_graph(spark, d)).select("wallet", "tx", "i", "o", "continues")
 
 
-@query("lineage_features", tidied(Q.with_(*_CELLS, Q.lineage()), "f_lineage", ["wallet", "merge_count", "split_count", "branch_count", "continuation_count", "continuation_ratio", "lineage_repetition", "lineage_depth"], ("support_state",)))
+@query("lineage_features", tidied(Q.with_(*_CELLS, Q.lineage()), "f_lineage", LINEAGE := ["wallet", "merge_count", "split_count", "branch_count", "continuation_count", "continuation_ratio", "lineage_repetition", "lineage_depth"], ("support_state",)))
 def lineage_features(spark: SparkSession, d: str) -> DataFrame:
     return C.lineage_features(cell_graph(spark, d))
 
@@ -245,7 +245,7 @@ def rule_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _v1_features(spark: SparkSession, d: str) -> DataFrame:
-    m = feature_matrix(spark, d, families=("temporal", "periodicity", "topology", "templates"))
+    m = feature_matrix(spark, d)
     names = {f for parts in R.V1_RULES.values() for f, _, _ in parts}
     return m.select("wallet", *[F.col(c).alias(c.split("__")[1]) for c in m.columns if "__" in c and c.split("__")[1] in names and c != "topology__n"])
 
@@ -271,12 +271,12 @@ def rule_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- feature matrix and audits
-#: Families and features that the SQL below lists; the plans take all nine families and every pair (see README).
-AUDITED = ("temporal", "topology", "lifecycle", "capacity", "lineage")
-_VALUES = {"temporal": TEMPORAL[1:], "topology": TOPOLOGY[1:], "lifecycle": ["observed_cell_count", "consumed_cell_count", "right_censored_cell_count", "mean_lifetime_seconds", "median_lifetime_seconds", "lifetime_std", "lifetime_cv", "lifetime_p25", "lifetime_p75", "lifetime_p90", "mean_lifetime_blocks", "median_lifetime_blocks", "short_lived_ratio", "long_lived_ratio", "rapid_consumption_ratio", "same_block_ratio", "lifetime_entropy", "lifetime_repeat_ratio"],
-           "capacity": [*[f"{s}_capacity_{k}" for s in ("input", "output") for k in ("mean", "median", "cv")], "capacity_repeat_ratio", "capacity_input_entropy", "capacity_output_entropy", "target_created_capacity", "target_consumed_capacity", "target_net_capacity_delta", "occupied_capacity_total", "excess_capacity_total"],
-           "lineage": ["merge_count", "split_count", "branch_count", "continuation_count", "continuation_ratio", "lineage_repetition", "lineage_depth"]}
-_LONG = "lf_ AS (" + " UNION ALL ".join(f"SELECT wallet, '{f}__{v}' AS feature, round(({v})::DOUBLE, 6) AS value FROM wide" for f in AUDITED for v in _VALUES[f]) + ")"
+#: Numeric values of the nine families, as the SQL below lists them.
+_VALUES = {
+    "temporal": TEMPORAL[1:], "periodicity": PERIODICITY[1:], "topology": TOPOLOGY[1:], "lifecycle": LIFECYCLE[1:], "templates": TEMPLATES[1:], "scripts": SCRIPTS[1:],
+    "typed_assets": TYPED_ASSETS[1:], "capacity": CAPACITY[1:], "lineage": LINEAGE[1:],
+}
+_LONG = "lf_ AS (" + " UNION ALL ".join(f"SELECT wallet, '{f}__{v}' AS feature, round(({v})::DOUBLE, 6) AS value FROM wide" for f in FAMILIES for v in _VALUES[f]) + ")"
 _MATRIX = f"{_ALL},\n{_WIDE},\n{_LONG}"
 
 
@@ -289,7 +289,7 @@ def feature_matrix_long(spark: SparkSession, d: str) -> DataFrame:
     return _matrix(spark, d)
 
 
-@query("learning_columns", "SELECT unnest([" + ", ".join(f"'{c}'" for c in sorted(f"{f}__{v}" for f in AUDITED for v in _VALUES[f] if not any(t in f"{f}__{v}" for t in __import__("ledgerlens.config", fromlist=["x"]).FORBIDDEN_TOKENS))) + "]) AS feature")
+@query("learning_columns", "SELECT unnest([" + ", ".join(f"'{c}'" for c in sorted(f"{f}__{v}" for f in FAMILIES for v in _VALUES[f] if not any(t in f"{f}__{v}" for t in __import__("ledgerlens.config", fromlist=["x"]).FORBIDDEN_TOKENS))) + "]) AS feature")
 def learning_columns(spark: SparkSession, d: str) -> DataFrame:
     names = A.learning_columns(feature_matrix(spark, d).drop("topology__n"))
     return spark.createDataFrame([(n,) for n in names], "feature string")
@@ -312,13 +312,7 @@ def predictor_audit(spark: SparkSession, d: str) -> DataFrame:
 
 _CORRELATED = """{name}_k AS (SELECT *, rank() OVER (PARTITION BY l, r ORDER BY x) + (count(*) OVER (PARTITION BY l, r, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY l, r ORDER BY y) + (count(*) OVER (PARTITION BY l, r, y) - 1) / 2 AS ry FROM {name}_0),
 {name} AS (SELECT l, r, count(*) AS n, CASE WHEN count(*) >= 2 THEN covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) END AS pearson, CASE WHEN count(*) >= 2 THEN covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) END AS spearman FROM {name}_k GROUP BY l, r)"""
-#: Features of the pairwise SQL and of the exploration queries.
-PAIRED = [f"{f}__{v}" for f, v in (
-    ("temporal", "interarrival_mean"), ("temporal", "interarrival_median"), ("temporal", "interarrival_std"), ("temporal", "interarrival_cv"), ("temporal", "gap_entropy"), ("topology", "input_cell_count_mean"), ("topology", "output_cell_count_mean"),
-    ("topology", "fragmentation_event_ratio"), ("topology", "consolidation_event_ratio"), ("topology", "topology_entropy"), ("lifecycle", "mean_lifetime_seconds"), ("lifecycle", "median_lifetime_seconds"), ("lifecycle", "lifetime_std"),
-    ("capacity", "input_capacity_mean"), ("capacity", "output_capacity_mean"), ("capacity", "target_created_capacity"), ("capacity", "occupied_capacity_total"), ("lineage", "branch_count"), ("lineage", "split_count"), ("lineage", "continuation_ratio"),
-)]
-_PAIRS = f"{_MATRIX},\npx_0 AS (SELECT a.feature AS l, b.feature AS r, a.value AS x, b.value AS y FROM lf_ a JOIN lf_ b ON a.wallet = b.wallet AND a.feature < b.feature WHERE a.value IS NOT NULL AND b.value IS NOT NULL AND a.feature IN ({', '.join(repr(f) for f in PAIRED)}) AND b.feature IN ({', '.join(repr(f) for f in PAIRED)})),\n" + _CORRELATED.format(name="px")
+_PAIRS = f"{_MATRIX},\npx_0 AS (SELECT a.feature AS l, b.feature AS r, a.value AS x, b.value AS y FROM lf_ a JOIN lf_ b ON a.wallet = b.wallet AND a.feature < b.feature WHERE a.value IS NOT NULL AND b.value IS NOT NULL),\n" + _CORRELATED.format(name="px")
 _STRONG = "strong AS (SELECT l, r, n, round(greatest(abs(pearson), abs(spearman)), 6) AS strength, CASE WHEN round(greatest(abs(pearson), abs(spearman)), 6) >= 0.95 THEN 'KEEP_ONE' ELSE 'REVIEW' END AS advice FROM px WHERE n >= 50 AND round(greatest(abs(pearson), abs(spearman)), 6) >= 0.9)"
 
 
@@ -333,8 +327,8 @@ def redundancy_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GROUPS = """gr_e AS (SELECT l AS a, r AS b FROM strong WHERE advice = 'KEEP_ONE' UNION SELECT r, l FROM strong WHERE advice = 'KEEP_ONE'),
-gr_r AS (SELECT a AS feature, a AS at FROM gr_e UNION SELECT gr_r.feature, gr_e.b FROM gr_r JOIN gr_e ON gr_r.at = gr_e.a),
-gr AS (SELECT feature, min(at) AS root FROM gr_r GROUP BY feature)"""
+gr_r AS (SELECT a AS feature, a AS here FROM gr_e UNION SELECT gr_r.feature, gr_e.b FROM gr_r JOIN gr_e ON gr_r.here = gr_e.a),
+gr AS (SELECT feature, min(here) AS root FROM gr_r GROUP BY feature)"""
 
 
 @query("redundancy_groups", f"{_PAIRS},\n{_STRONG},\n{_GROUPS}\nSELECT feature, root FROM gr")
@@ -560,15 +554,23 @@ def typed_amounts(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- exploration
-_EXPLORED = [f for f in PAIRED if f.startswith(("temporal", "topology", "capacity"))]
-_SCALED = f"""sv_t AS (SELECT wallet, feature, regexp_matches(feature, '_(ratio|entropy|cv|concentration|repetition|strength|stability|skewness|kurtosis)$') AS std_, CASE WHEN regexp_matches(feature, '_(ratio|entropy|cv|concentration|repetition|strength|stability|skewness|kurtosis)$') THEN value ELSE sign(value) * ln(1 + abs(value)) END AS t FROM lf_ WHERE value IS NOT NULL AND feature IN ({', '.join(repr(f) for f in _EXPLORED)})),
+#: Features of the learning matrix of the PCA and the clusterings, a parameter: complete cases of these are its rows.
+EXPLORED = [f"{f}__{v}" for f, v in (
+    ("temporal", "interarrival_mean"), ("temporal", "interarrival_median"), ("temporal", "interarrival_std"), ("temporal", "interarrival_cv"), ("temporal", "gap_entropy"), ("topology", "input_cell_count_mean"), ("topology", "output_cell_count_mean"),
+    ("topology", "fragmentation_event_ratio"), ("topology", "consolidation_event_ratio"), ("topology", "topology_entropy"), ("capacity", "input_capacity_mean"), ("capacity", "output_capacity_mean"), ("capacity", "target_created_capacity"), ("capacity", "occupied_capacity_total"),
+)]
+_SCALED = f"""sv_t AS (SELECT wallet, feature, regexp_matches(feature, '_(ratio|entropy|cv|concentration|repetition|strength|stability|skewness|kurtosis)$') AS std_, CASE WHEN regexp_matches(feature, '_(ratio|entropy|cv|concentration|repetition|strength|stability|skewness|kurtosis)$') THEN value ELSE sign(value) * ln(1 + abs(value)) END AS t FROM lf_ WHERE value IS NOT NULL),
 sv_s AS (SELECT feature, avg(t) AS m, stddev_pop(t) AS s, quantile_cont(t, 0.25) AS a, quantile_cont(t, 0.5) AS b, quantile_cont(t, 0.75) AS c FROM sv_t GROUP BY feature),
 sv AS (SELECT wallet, feature, CASE WHEN std_ OR c = a THEN (t - m) / CASE WHEN s = 0 THEN 1.0 ELSE s END ELSE (t - b) / (c - a) END AS scaled FROM sv_t JOIN sv_s USING (feature))"""
 
 
-def _scaled(spark: SparkSession, d: str) -> DataFrame:
-    m = A.long_form(feature_matrix(spark, d, families=AUDITED))
-    return X.scaled_values(m.filter(F.col("feature").isin(_EXPLORED)))
+_IN = ", ".join(repr(f) for f in EXPLORED)
+
+
+def _scaled(spark: SparkSession, d: str, features: list[str] | None = None) -> DataFrame:
+    """Scaled values of the named features, or of all."""
+    m = _matrix(spark, d)
+    return X.scaled_values(m if features is None else m.filter(F.col("feature").isin(features)))
 
 
 @query("scaled_values", tidied(f"{_MATRIX},\n{_SCALED}\n", "sv", ["wallet", "scaled"], ("feature",)))
@@ -576,14 +578,14 @@ def scaled_values(spark: SparkSession, d: str) -> DataFrame:
     return _scaled(spark, d)
 
 
-@query("feature_covariance", tidied(f"{_MATRIX},\n{_SCALED}\n", "(SELECT a.feature AS l, b.feature AS r, covar_samp(a.scaled, b.scaled) AS covariance FROM sv a JOIN sv b USING (wallet) GROUP BY 1, 2)", ["covariance"], ("l", "r")))
+@query("feature_covariance", tidied(f"{_MATRIX},\n{_SCALED}\n", f"(SELECT a.feature AS l, b.feature AS r, covar_samp(a.scaled, b.scaled) AS covariance FROM sv a JOIN sv b USING (wallet) WHERE a.feature IN ({_IN}) AND b.feature IN ({_IN}) GROUP BY 1, 2)", ["covariance"], ("l", "r")))
 def feature_covariance(spark: SparkSession, d: str) -> DataFrame:
-    return X.covariance_long(_scaled(spark, d))
+    return X.covariance_long(_scaled(spark, d, EXPLORED))
 
 
 @query("pca_variance")
 def pca_variance(spark: SparkSession, d: str) -> DataFrame:
-    _, names, x = X.to_matrix(_scaled(spark, d))
+    _, names, x = X.to_matrix(_scaled(spark, d, EXPLORED))
     share = X.pca(x)[0]
     rows = [(i + 1, float(s), float(share[: i + 1].sum()), X.feasible(len(x), len(names))) for i, s in enumerate(share)]
     return spark.createDataFrame(rows, "k long, share double, cumulative double, feasible boolean")
@@ -591,19 +593,19 @@ def pca_variance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pca_stability")
 def pca_stability(spark: SparkSession, d: str) -> DataFrame:
-    b = X.pca_bootstrap(_scaled(spark, d))
+    b = X.pca_bootstrap(_scaled(spark, d, EXPLORED))
     return b.groupBy(F.col("component").alias("k")).agg(F.count("*").alias("n"), F.median("cosine").alias("median"), F.min("cosine").alias("low"), F.avg(F.col("in_order").cast("double")).alias("order_retention"))
 
 
 @query("density_grid")
 def density_grid(spark: SparkSession, d: str) -> DataFrame:
-    runs = X.grid(_scaled(spark, d))
+    runs = X.grid(_scaled(spark, d, EXPLORED))
     return runs.groupBy("run_id").agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("cluster_count"), F.avg((F.col("label") < 0).cast("double")).alias("noise"), F.count("*").alias("wallets"))
 
 
 @query("mixture_grid")
 def mixture_grid(spark: SparkSession, d: str) -> DataFrame:
-    return X.mixture_grid(_scaled(spark, d)).withColumnRenamed("smallest", "n")
+    return X.mixture_grid(_scaled(spark, d, EXPLORED)).withColumnRenamed("smallest", "n")
 
 
 _LABELS = "la1 AS (SELECT user_id AS wallet, count(*) % 4 AS label FROM events GROUP BY 1), la2 AS (SELECT user_id AS wallet, max(event_id) % 3 AS label FROM events GROUP BY 1), ct AS (SELECT la1.label AS left_label, la2.label AS right_label, count(*) AS n FROM la1 JOIN la2 USING (wallet) GROUP BY 1, 2)"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,21 +202,36 @@ def continuations(cells: DataFrame) -> DataFrame:
     return per.select("wallet", "tx", "ts", "idx", "i", "o", (F.size(F.array_intersect("a", "b")) > 0).alias("continues"))
 
 
-def lineage_depth(cells: DataFrame) -> DataFrame:
-    """wallet, depth: transactions on the longest chain of in-wallet spends, by an ordered fold over parent edges."""
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        depth: dict = {}
-        for _, tx, has_input, parents in rows.sort_values(["ts", "idx", "tx"])[["ts", "tx", "has_input", "parents"]].itertuples(index=False):
+def _depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Depth of each wallet from its transactions, which come one after the other in time: one fold over the rows."""
+    wallet, depth = None, {}
+    for batch in batches:
+        done: list[tuple] = []
+        for own, tx, has_input, parents in zip(*(batch.column(c).to_pylist() for c in ("wallet", "tx", "has_input", "parents")), strict=True):
+            if own != wallet:
+                if depth:
+                    done.append((wallet, max(depth.values())))
+                wallet, depth = own, {}
             depth[tx] = int(has_input) + max((depth.get(p, 0) for p in parents), default=0)
-        return pd.DataFrame({"wallet": [key[0]], "depth": [max(depth.values(), default=0)]})
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in done], pa.int64()), pa.array([d for _, d in done], pa.int64())], ["wallet", "depth"])
+    if depth:
+        yield pa.RecordBatch.from_arrays([pa.array([wallet], pa.int64()), pa.array([max(depth.values())], pa.int64())], ["wallet", "depth"])
+
+
+def lineage_depth(cells: DataFrame) -> DataFrame:
+    """wallet, depth: transactions on the longest chain of in-wallet spends.
 
+    A parent is a transaction of the wallet whose output cell is spent; rows stream through one fold in the order of
+    time, which holds a number for each transaction of the wallet at hand, never its cells.
+    """
     made = cells.filter("side = 'out'").select("wallet", F.col("tx").alias("prev_tx"), F.col("pos").alias("prev_pos"))
     real = cells.filter("side = 'in' and prev_tx is not null").join(made, ["wallet", "prev_tx", "prev_pos"], "left_semi")
     parents = real.groupBy("wallet", "tx").agg(F.collect_set("prev_tx").alias("parents"))
     per = cells.groupBy("wallet", "tx").agg(F.min("ts").alias("ts"), F.min("idx").alias("idx"), F.bool_or((F.col("side") == "in") & F.col("prev_tx").isNotNull()).alias("has_input"))
     rows = per.join(parents, ["wallet", "tx"], "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<bigint>")))
-    return rows.groupBy("wallet").applyInPandas(fold, "wallet long, depth long")
+    ordered = rows.repartition("wallet").sortWithinPartitions("wallet", "ts", "idx", "tx")
+    return ordered.select("wallet", "tx", "has_input", "parents").mapInArrow(_depths, "wallet long, depth long")
 
 
 def lineage_features(cells: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ledgerlens.operators import cells as C
 from ledgerlens.operators import temporal as T
 from ledgerlens.operators.rules import join_families
 from ledgerlens.sources.adapters import cell_graph, order_stream
+from ledgerlens.sources.store import once
 
 #: Start of the weekly windows over orders: 1995-01-01T00:00:00Z.
 ORDER_START = 788918400
@@ -29,11 +30,19 @@ def order_families(spark: SparkSession, sf_dir: str, wallets: list[int] | None =
     }
 
 
-def feature_matrix(spark: SparkSession, sf_dir: str, wallets: list[int] | None = None, families: tuple[str, ...] = FAMILIES) -> DataFrame:
-    """One wide row a wallet, with topology__n, its number of transactions."""
+def feature_matrix(spark: SparkSession, sf_dir: str, wallets: list[int] | None = None) -> DataFrame:
+    """One wide row a wallet, with topology__n, its number of transactions.
+
+    The matrix of all wallets is written once a session; that of a list of wallets is a plan whose filter reaches the scans.
+    """
+    if wallets is not None:
+        return build_matrix(spark, sf_dir, wallets)
+    return once(spark, "matrix", [f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet"], lambda: build_matrix(spark, sf_dir))
+
+
+def build_matrix(spark: SparkSession, sf_dir: str, wallets: list[int] | None = None) -> DataFrame:
     tx = order_stream(spark, sf_dir)
     if wallets is not None:
         tx = tx.filter(F.col("wallet").isin(wallets))
-    found = order_families(spark, sf_dir, wallets)
-    wide = join_families({k: found[k] for k in families})
+    wide = join_families(order_families(spark, sf_dir, wallets))
     return wide.join(tx.groupBy("wallet").agg(F.count("*").alias("topology__n")), "wallet", "left")

@@ -10,7 +10,7 @@ ORDERS = """otx AS (SELECT *, lag(tx) OVER w AS prev_tx, lag(ts) OVER w AS prev_
   (SELECT o_custkey AS wallet, o_orderkey AS tx, floor(epoch(o_orderdate))::BIGINT AS ts, o_orderkey AS idx FROM orders) WINDOW w AS (PARTITION BY wallet ORDER BY ts, tx))"""
 CELLS = """made AS (SELECT l_orderkey AS made, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS pos,
   round(l_extendedprice * 100)::BIGINT AS capacity, round(l_quantity * 100)::BIGINT AS occupied, l_suppkey AS lock, l_returnflag AS type, CASE WHEN l_linestatus = 'O' THEN l_partkey END AS asset FROM lineitem),
-cells AS (SELECT wallet, tx, ts, idx, 'out' AS side, pos, capacity, occupied, lock, type, asset, lock % 4 = wallet % 4 AS target, NULL::BIGINT AS prev_tx, NULL::BIGINT AS prev_pos, NULL::BIGINT AS prev_ts FROM otx JOIN made ON tx = made
+cells AS MATERIALIZED (SELECT wallet, tx, ts, idx, 'out' AS side, pos, capacity, occupied, lock, type, asset, lock % 4 = wallet % 4 AS target, NULL::BIGINT AS prev_tx, NULL::BIGINT AS prev_pos, NULL::BIGINT AS prev_ts FROM otx JOIN made ON tx = made
   UNION ALL SELECT wallet, tx, ts, idx, 'in', pos, capacity, occupied, lock, type, asset, lock % 4 = wallet % 4, prev_tx, pos, prev_ts FROM otx JOIN made ON prev_tx = made)"""
 
 
@@ -199,7 +199,7 @@ yj AS (SELECT * FROM ya LEFT JOIN yr USING (wallet) LEFT JOIN yf USING (wallet))
 f_typed_assets AS ({gated})"""
 
 
-CENSORED = "cens AS (SELECT wallet, tx, pos FROM cells c WHERE side = 'out' AND target AND NOT EXISTS (SELECT 1 FROM cells s WHERE s.side = 'in' AND s.target AND s.wallet = c.wallet AND s.prev_tx = c.tx AND s.prev_pos = c.pos))"
+CENSORED = "cens AS (SELECT wallet, tx, pos FROM cells WHERE side = 'out' AND target EXCEPT ALL SELECT wallet, prev_tx, prev_pos FROM cells WHERE side = 'in' AND target)"
 
 
 def lifecycle() -> str:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.store import once
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +49,11 @@ def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of all orders, written once a session and read by every family."""
+    return once(spark, "cells", [f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet"], lambda: build_cells(spark, sf_dir))
+
+
+def build_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as its outputs, and those of the customer's order before as its inputs."""
     tx, made = order_stream(spark, sf_dir), _outputs(spark, sf_dir)
     target = (F.pmod("lock", F.lit(4)) == F.pmod("wallet", F.lit(4))).alias("target")
