@@ -25,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 INTEGERS = set(
-    "wallet tx lag week gaps n run started duration pos external_in external_out i o input_total output_total fee prev_tx prev_pos resolved_capacity total missing distinct_values outliers impossible wallets threshold "
+    "n_observed_transactions max_input_cells_per_tx max_output_cells_per_tx target_input_capacity target_output_capacity target_net_capacity_delta wallet tx lag week gaps n run started duration pos external_in external_out i o input_total output_total fee prev_tx prev_pos resolved_capacity total missing distinct_values outliers impossible wallets threshold "
     "ready families supported_wallets partial insufficient active_weeks next_week start_block end_block number median_timestamp occurrences lifetime_tx_count attempts place "
     "max_transactions_per_session max_burst_size autocorrelation_peak_lag token_input_total token_output_total net_token_delta token_turnover asset_diversity lineage_depth capacity k "
     "target_created_capacity target_consumed_capacity target_net_capacity_delta occupied_capacity_total excess_capacity_total seconds blocks high_half low_half left_label right_label amount".split()
@@ -244,32 +244,6 @@ def rule_counts(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("rule", "support_state").agg(F.count("*").alias("wallets"), F.count_if("threshold_met").alias("threshold_count"), F.count_if("positive").alias("positive_count"))
 
 
-def _v1_features(spark: SparkSession, d: str) -> DataFrame:
-    m = feature_matrix(spark, d)
-    names = {f for parts in R.V1_RULES.values() for f, _, _ in parts}
-    return m.select("wallet", *[F.col(c).alias(c.split("__")[1]) for c in m.columns if "__" in c and c.split("__")[1] in names and c != "topology__n"])
-
-
-_V1 = " UNION ALL ".join(
-    "SELECT wallet, factor, '{r}' AS rule, CASE WHEN {known} THEN ({score}) / 3 END AS score, coalesce({known} AND ({score}) = 3, false) AS supported FROM wide CROSS JOIN (VALUES (0.8::DOUBLE), (1.0::DOUBLE), (1.2::DOUBLE)) f(factor)".format(
-        r=r, known=" AND ".join(f"{f} IS NOT NULL" for f, _, _ in parts), score=" + ".join(f"coalesce(({f} {'<=' if way < 0 else '>='} {cut} * factor)::INT, 0)" for f, way, cut in parts)
-    )
-    for r, parts in R.V1_RULES.items()
-)
-
-
-@query("rules_v1", tidied(f"{_ALL},\n{_WIDE},\nv1 AS ({_V1})\n", "(SELECT * FROM v1 WHERE factor = 1.0)", ["wallet", "score"], ("rule", "supported")))
-def rules_v1(spark: SparkSession, d: str) -> DataFrame:
-    return R.evaluate_v1(_v1_features(spark, d))
-
-
-@query("rule_sensitivity", f"""{_ALL},\n{_WIDE},\nv1 AS ({_V1}),
-p AS (SELECT wallet, rule, bool_or(supported) FILTER (factor = 0.8::DOUBLE) AS at_low, bool_or(supported) FILTER (factor = 1.0) AS at_base, bool_or(supported) FILTER (factor = 1.2::DOUBLE) AS at_high FROM v1 GROUP BY ALL)
-SELECT wallet::BIGINT AS wallet, rule, at_low, at_base, at_high, CASE WHEN at_low = at_base AND at_base = at_high THEN 'stable' ELSE 'threshold-sensitive' END AS verdict FROM p""")
-def rule_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return R.sensitivity(_v1_features(spark, d))
-
-
 # ---------------------------------------------------------------- feature matrix and audits
 #: Numeric values of the nine families, as the SQL below lists them.
 _VALUES = {

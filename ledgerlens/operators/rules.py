@@ -1,4 +1,4 @@
-"""The eleven evidence rules and MIXED, as arithmetic over the joined families; and the rules of the first version."""
+"""The eleven evidence rules and MIXED, as arithmetic over the joined families."""
 
 from __future__ import annotations
 
@@ -92,33 +92,3 @@ def evaluate(features: DataFrame) -> DataFrame:
         F.when(F.col("k") > 0, F.least(F.lit(1.0), F.col("k") / 3)).alias("score"), (F.col("k") >= 2).alias("threshold_met"), (F.col("k") >= 2).alias("positive"),
     )
     return wide.select("wallet", F.explode(F.concat("rules", F.array(mixed))).alias("r")).select("wallet", "r.*")
-
-
-#: Cutoffs of the first version's three rules, each (feature, direction, cutoff).
-V1_RULES = {
-    "PERIODIC_EXECUTION": (("interarrival_cv", -1, 0.35), ("periodicity_strength", 1, 0.80), ("phase_stability", 1, 0.75)),
-    "BATCH_DISTRIBUTION": (("one_to_many_ratio", 1, 0.5), ("external_output_lock_mean", 1, 2.0), ("topology_repeat_ratio", 1, 0.5)),
-    "FAN_IN_COLLECTION": (("many_to_one_ratio", 1, 0.5), ("external_input_lock_mean", 1, 2.0), ("topology_repeat_ratio", 1, 0.5)),
-}
-
-
-def evaluate_v1(features: DataFrame, factor: Column | float = 1.0) -> DataFrame:
-    """wallet, rule, score (passed cutoffs / 3, NULL if a feature is missing) and supported, with cutoffs times factor."""
-    made = []
-    scale = F.lit(factor) if isinstance(factor, float) else factor
-    for rule, parts in V1_RULES.items():
-        passed = [(F.col(f) <= cut * scale) if way < 0 else (F.col(f) >= cut * scale) for f, way, cut in parts]
-        score = sum((F.when(p, 1).otherwise(0) for p in passed), F.lit(0)) / 3
-        known = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f, _, _ in parts])
-        made.append(F.struct(F.lit(rule).alias("rule"), F.when(known, score).alias("score"), F.coalesce(known & (score == 1), F.lit(False)).alias("supported")))
-    rest = [c for c in features.columns if c == "factor"]
-    return features.select("wallet", *rest, F.explode(F.array(*made)).alias("r")).select("wallet", *rest, "r.*")
-
-
-def sensitivity(features: DataFrame, factors: tuple[float, ...] = (0.8, 1.0, 1.2)) -> DataFrame:
-    """wallet, rule, supported under each factor, and verdict stable or threshold-sensitive."""
-    spread = features.withColumn("factor", F.explode(F.array(*map(F.lit, factors))))
-    judged = evaluate_v1(spread, F.col("factor"))
-    low, mid, high = (F.bool_or(F.when(F.col("factor") == f, F.col("supported"))) for f in factors)
-    out = judged.groupBy("wallet", "rule").agg(low.alias("at_low"), mid.alias("at_base"), high.alias("at_high"))
-    return out.withColumn("verdict", F.when((F.col("at_low") == F.col("at_base")) & (F.col("at_base") == F.col("at_high")), "stable").otherwise("threshold-sensitive"))
