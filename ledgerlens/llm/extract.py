@@ -1,18 +1,23 @@
 """Operator 4, HTML extraction by line-block distribution.
 
-1. Strip markup: a tag scanner drops comments, scripts, styles, forms and page furniture (by element, role, class or
-   id), and starts a new line at every block element.  Furniture leaves empty lines behind, except between texts
-   of the same block.
+1. Strip markup: a tag scanner drops comments, scripts, styles, forms and page furniture (by element, role or a plain name
+   such as navbar or comments), and starts a new line at every block element.  Furniture leaves empty lines behind,
+   except between texts of the same block.  A name that may also be that of article text (side, notice, discussion ...)
+   drops nothing here: its lines are only marked as one doubtful block.
 2. Each line has the length of its text, less the text of its links; a sliding window of three lines sums them.
 3. A surge point is a line whose window rises from zero to text, a dive point where the window falls back to zero.
-   The text between them is one run.  The longest run holds the article; a run whose densest window reaches a fifth
-   of the densest window of the page is kept as well.
+   The text between them is one run, and its density is that of its densest window.
+4. A doubtful block stays if it reaches DOUBT of the density of the page without such blocks, else it leaves as
+   furniture does.
+5. The articles that a page names (article, main or their roles) are runs of their own, and furniture inside leaves no
+   gap, so that a notice between two paragraphs does not cut the article.  The densest one is the article, whole, with the
+   others that reach SHARE of its density; teasers in small articles do not.  If text outside is TRUST times as dense
+   as any of them, the names do not hold, and the page is read as one that names none: its densest run is the article,
+   with every run that reaches SHARE of its density.
 
-If a page names its article (article, main or their roles), lines outside of it have no weight, and furniture inside
-leaves no gap, so that a notice between two paragraphs does not cut the article.
-
-Defined results: null, empty or text-less html gives an empty text; broken or cut markup is read to its end; equal rows
-give equal results; null ids and urls are kept; an empty table gives an empty result; other columns are not read.
+Defined results: null, empty or text-less html gives an empty text; broken or cut markup is read to its end, a tag with a
+broken quote ends at the next >; equal rows give equal results; null ids and urls are kept; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +34,10 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: A run is kept if its densest window reaches this share of the densest window of the page.
 SHARE = 0.2
+#: The share of the density of the rest of the page at which a doubtful block is text.
+DOUBT = 0.4
+#: How many times as dense as all named articles text outside must be for the names not to hold.
+TRUST = 4
 
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -44,35 +53,43 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: A class or id names furniture if one of its words is among these.
 _NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsbox adbox adslot banner banners sponsor sponsored sponsors promo promos promotion "
-    "nav navbar navigation menu menus submenu topnav breadcrumb breadcrumbs pagination pager header masthead topbar footer "
-    "sidebar sidebars aside side rail widget widgets related recommended recommendations trending popular teaser teasers "
-    "notice notices cookie cookies consent gdpr popup modal overlay alert newsletter subscribe subscription signup login paywall "
-    "share sharing social comment comments commentlist disqus discussion replies reply respond reactions "
-    "tags toolbar search form copyright disclaimer".split()
+    "ad ads adv advert adverts advertisement advertising adsbox adbox adslot sponsor sponsored sponsors "
+    "nav navbar navigation menu menus submenu topnav breadcrumb breadcrumbs pagination pager masthead topbar footer "
+    "sidebar sidebars cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login paywall "
+    "sharing social comment comments commentlist disqus toolbar".split()
+)
+#: These may name furniture or text: the density of the block decides.
+_DOUBTFUL = frozenset(
+    "banner banners promo promos promotion header aside side rail widget widgets related recommended recommendations trending popular teaser teasers "
+    "notice notices overlay alert share discussion replies reply respond reactions tags search form copyright disclaimer".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A quote opens a value only behind =, and a value holds no <, so a stray quote does not swallow the page.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*\"[^\"<]*\"|=\s*'[^'<]*'|[^>])*)(?:>|\Z)", re.S)
 #: One attribute, with its whole value: words inside of a value are no attributes.
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _furniture(tag: str, attributes: str) -> bool:
+def _furniture(tag: str, attributes: str) -> str:
+    """"drop" for furniture, "doubt" for a block whose density decides, else an empty text."""
     if tag in _DROP:
-        return True
-    if not attributes:
-        return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        return "drop"
+    found = ""
+    for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), a or b or c
         if name == "role":
             if value.strip().lower() in _ROLES:
-                return True
+                return "drop"
         elif name == "hidden" or name == "aria-hidden":
             if name == "hidden" or value.lower() == "true":
-                return True
-        elif name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(p.lower() in _NAMES for p in _NAME_PARTS.findall(value)):
-            return True
-    return False
+                return "drop"
+        elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            parts = {p.lower() for p in _NAME_PARTS.findall(value)}
+            if parts & _NAMES:
+                return "drop"
+            if parts & _DOUBTFUL:
+                found = "doubt"
+    return found
 
 
 def _main(tag: str, attributes: str) -> bool:
@@ -83,29 +100,33 @@ def _main(tag: str, attributes: str) -> bool:
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "inside", "gap", "parents")
+    __slots__ = ("parts", "linked", "region", "doubt", "gap", "parents")
 
-    def __init__(self, inside: bool, gap: bool = False):
+    def __init__(self, region: int, doubt: int, gap: bool = False):
         self.parts: list[str] = []
         self.linked = 0
-        self.inside = inside
+        #: The number of the named article, and of the doubtful block, that the line lies in; 0 for none.
+        self.region = region
+        self.doubt = doubt
         self.gap = gap
         #: The blocks around the first and the last text of the line.
         self.parents: tuple[int, int] | None = None
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside the named article) of every line.
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, weight, named article) of every line.
 
-    Furniture outside an article gives empty lines, unless the texts before and after it lie in the same block.
+    Furniture and thin doubtful blocks outside an article give empty lines, unless the texts before and after them lie in
+    the same block.
     """
-    made: list[_Line] = [_Line(False)]
+    made: list[_Line] = [_Line(0, 0)]
     stack: list[str] = []
     numbers: list[int] = []  # a number of its own for each element of the stack; may be longer than the stack
     opened = 0
     dropped = 0  # depth of the stack at which furniture began
-    inside = links = 0
-    inside_at: list[int] = []
+    links = 0
+    regions: list[tuple[int, int]] = []  # (depth, number) of the outermost named article
+    doubts: list[tuple[int, int]] = []  # (depth, number) of the outermost doubtful block
     at, end = 0, len(page)
 
     def text(a: int, b: int) -> None:
@@ -119,8 +140,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 made[-1].linked += len(piece.strip())
 
     def fresh() -> None:
-        if made[-1].parts or made[-1].inside != bool(inside):
-            made.append(_Line(bool(inside)))
+        at = regions[0][1] if regions else 0, doubts[0][1] if doubts else 0
+        if made[-1].parts or (made[-1].region, made[-1].doubt) != at:
+            made.append(_Line(*at))
 
     while at < end:
         found = _TOKEN.search(page, at)
@@ -143,13 +165,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     top = stack.pop()
                     if dropped and len(stack) < dropped:
                         dropped = 0
-                        if not inside:
-                            made.extend(_Line(False, True) for _ in range(WINDOW + 1))
+                        if not regions:
+                            made.extend(_Line(0, 0, True) for _ in range(WINDOW + 1))
+                            fresh()
                     if top == "a":
                         links = max(0, links - 1)
-                    if inside_at and len(stack) < inside_at[-1]:
-                        inside_at.pop()
-                        inside -= 1
+                    for kept in (regions, doubts):
+                        if kept and len(stack) < kept[0][0]:
+                            kept.clear()
                     if top == tag:
                         break
             if not dropped and tag in _BLOCK:
@@ -172,30 +195,49 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         numbers.append(opened)
         if dropped:
             continue
-        if _furniture(tag, attributes):
+        verdict = _furniture(tag, attributes)
+        if verdict == "drop":
             dropped = len(stack)
             continue
         if tag == "a":
             links += 1
-        if _main(tag, attributes):
-            inside += 1
-            inside_at.append(len(stack))
+        if not regions and _main(tag, attributes):
+            regions.append((len(stack), opened))
+            fresh()
+        if not doubts and verdict == "doubt":
+            doubts.append((len(stack), opened))
             fresh()
-    out: list[tuple[str, int, bool]] = []
+    rows = [(" ".join("".join(line.parts).split()), line) for line in made]
+    weighed = [(joined, max(0, len(joined) - line.linked), line) for joined, line in rows]
+    thin = thin_blocks([(weight, line.doubt) for _, weight, line in weighed])
+    out: list[tuple[str, int, int]] = []
     last, gap, filled = None, False, 0  # block of the last text, furniture since then, lines up to it
-    for line in made:
-        joined = " ".join("".join(line.parts).split())
+    for joined, weight, line in weighed:
+        if line.doubt in thin:
+            out += [("", 0, 0)] * (0 if line.region else WINDOW + 1)
+            gap = True
+            continue
         gap |= line.gap
         if joined and line.parents:
             if gap and last == line.parents[0]:
                 del out[filled:]
             last, gap = line.parents[1], False
-        out.append((joined, max(0, len(joined) - line.linked), line.inside))
+        out.append((joined, weight, line.region))
         if joined:
             filled = len(out)
     return out
 
 
+def thin_blocks(lines: list[tuple[int, int]]) -> set[int]:
+    """The doubtful blocks of lines (weight, block) that do not reach DOUBT of the density of all other lines."""
+    level = DOUBT * densest([w for w, doubt in lines if not doubt])
+    blocks: dict[int, list[int]] = {}
+    for weight, doubt in lines:
+        if doubt:
+            blocks.setdefault(doubt, []).append(weight)
+    return {doubt for doubt, weights in blocks.items() if densest(weights) < level}
+
+
 def runs(weights: list[int]) -> list[tuple[int, int, int]]:
     """(surge, dive, densest window) of every run of lines whose windows are not all zero."""
     n = len(weights)
@@ -213,26 +255,28 @@ def runs(weights: list[int]) -> list[tuple[int, int, int]]:
     return found
 
 
+def densest(weights: list[int]) -> int:
+    """The densest window of a sequence of lines."""
+    return max((k[2] for k in runs(weights)), default=0)
+
+
 def extract(page: str | None) -> str:
     """The main text of a page: its blocks in order, joined by one space."""
     if not page:
         return ""
     lines = lines_of(page)
-    named = any(inside and text for text, _, inside in lines)
-    weights = [w if inside or not named else 0 for _, w, inside in lines]
-    kept = runs(weights)
-    if not kept:
-        return ""
-    densest = max(k[2] for k in kept)
-    chosen = [k for k in kept if named or k[2] >= SHARE * densest]
-    parts = []
-    last = 0
-    for surge, dive, _ in chosen:
-        for i in range(max(surge, last), dive):
-            text, _, inside = lines[i]
-            if text and (inside or not named):
-                parts.append(text)
-        last = max(last, dive)
+    dense = {r: densest([w if region == r else 0 for _, w, region in lines]) for r in {region for _, _, region in lines}}
+    outside = dense.pop(0, 0)
+    top = max(dense.values(), default=0)
+    if any(region and text for text, _, region in lines) and outside <= TRUST * top:
+        return " ".join(text for text, _, region in lines if text and region and dense[region] >= SHARE * top)
+    kept = runs([w for _, w, _ in lines])
+    most = max((k[2] for k in kept), default=0)
+    parts, last = [], 0
+    for surge, dive, density in kept:
+        if density >= SHARE * most:
+            parts += [text for text, _, _ in lines[max(surge, last) : dive] if text]
+            last = max(last, dive)
     return " ".join(parts)
 
 
