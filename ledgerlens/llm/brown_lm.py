@@ -1,21 +1,23 @@
 """Operator 9, LM scoring with Brown class-based n-grams.
 
-Tokens are the lower-cased words of a text and one end.  Four passes over the texts, each an Arrow pass with sums by key:
+Tokens are the lower-cased words of a text and one end.  Passes over the texts, each an Arrow pass with sums by key:
 
-1. Every word's count in the training texts (a row a word, in the shared folder).
-2. Bigram counts among the EXCHANGE most frequent words.  On the driver, exchange clustering moves words between CLASSES
-   classes while the class bigram likelihood grows.  The matrix has a size that the parameter fixes.
-   Every other word joins the class whose words its spelling (two prefixes, two suffixes) fits best, by naive Bayes, so
-   that a word's class needs no table; the counts of words and the words of each class cover the whole vocabulary.
-3. Class trigram counts of all training tokens, smoothed by Witten-Bell down to bigrams, unigrams and a uniform share.
-4. Scores: log10 P(class | two classes before) + log10 P(word | class).  Counts of the HEAD most frequent words are
-   broadcast (a fixed size); every other word of every text meets its count in a join, so none is left out.
+1. Each task names its NAMED most frequent training words; the SEEDS words of the largest sums are the seeds.
+2. Bigram counts among the seeds.  On the driver, exchange clustering moves seeds between CLASSES classes while the class
+   bigram likelihood grows.  The matrix has a size that the parameter fixes.
+3. The lexicon, every training word with its count and class: tasks count the seed classes (or end, or any other word)
+   left and right of each word; rows of one word meet, and the word joins the class that raises the same class bigram
+   likelihood most (its first-order gain).  So every word is classed by its contexts, however many words there are.
+4. Each text as classes: the HEAD most frequent words are broadcast with class and count (a fixed size); every other
+   word of every text meets the lexicon in a join, so none is left out.
+5. Class trigram counts of all training tokens, smoothed by Witten-Bell down to bigrams, unigrams and a uniform share.
+6. Scores: log10 P(class | two classes before) + log10 P(word | class).
 
-The base score is that of the contract.  What is gathered, words and their counts, grows with the corpus.
+The base score is that of the contract.  What is gathered, the lexicon, grows with the corpus.
 
 Defined results: a null or empty text is one end token; a null id counts as the empty text, whose remainder is 0, so it is
-held out; without training texts every count is 0; equal texts have equal scores; an empty table gives an empty result;
-other columns are not read.
+held out; a word without a count has the class of most words; without training texts every count is 0; equal texts have
+equal scores; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,75 +31,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import Scratch, fold
-from ledgerlens.llm.words import Index, U, Words, chunks, mix
+from ledgerlens.llm.words import Index, U, Words, chunks
 
 FOLDS = 10
-EXCHANGE = 1500
+SEEDS = 1500
+NAMED = 8 * SEEDS
 CLASSES = 32
 HEAD = 1 << 16
 ROUNDS = 8
-SPELL = 1 << 12
-#: Additive smoothing of words within their class.
+#: Additive smoothing of words within their class, and of class bigrams in the gain of a word.
 ALPHA = 0.1
+SMOOTH = 0.5
 _END = CLASSES  # the class of the end token; CLASSES + 1 stands before a text
 _STATES = CLASSES + 2
-#: Distinct words that a task holds before it passes their counts on.
+_OTHER = CLASSES + 1  # as a neighbour: any word that is no seed
+_SIDES = 2 * (CLASSES + 2)
+_TAIL = 255  # in a text's classes: a word outside of the head
+#: Distinct words, and word contexts, that a task holds before it passes their counts on.
 FLUSH = 1_500_000
+_CELL = np.dtype([("code", "u1"), ("n", "<u4")])
 
 
-def spelling(words: Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Four spelling features of each word as bucket numbers: 2- and 4-byte prefix, 2- and 4-byte suffix."""
-    made = []
-    for k, (a, b) in enumerate(((start, np.minimum(end, start + 2)), (start, np.minimum(end, start + 4)), (np.maximum(start, end - 2), end), (np.maximum(start, end - 4), end))):
-        made.append((mix(words.hashes(a, b) + U(k)) >> U(64 - 12)).astype(np.int64))
-    return np.stack(made, 1) if len(start) else np.zeros((0, 4), np.int64)
-
-
-def pack_spelling(s: np.ndarray) -> np.ndarray:
-    return s[:, 0] | (s[:, 1] << 12) | (s[:, 2] << 24) | (s[:, 3] << 36)
-
-
-def unpack_spelling(p: np.ndarray) -> np.ndarray:
-    return np.stack([(p >> (12 * k)) & (SPELL - 1) for k in range(4)], 1)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, spelling, n) of the words of a task's texts, each word once for each FLUSH."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, s, n = (np.concatenate([x[k] for x in held]) for k in range(3))
-        order = np.argsort(h, kind="stable")
-        h, s, n = h[order], s[order], n[order]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        return h[head], s[head], np.add.reduceat(n, head)
-
-    def passed(h: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s), pa.array(n)], ["word", "spelling", "n"])
-
-    size = 0
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the NAMED most frequent words of a task."""
+    h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         for a, b in chunks(batch, "text"):
-            words = Words(batch.column("text").slice(a, b - a))
-            h, at, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-            if len(h):
-                held.append((h, pack_spelling(spelling(words, words.start[at], words.end[at])), n.astype(np.int64)))
-                size += len(h)
-            if size > FLUSH:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > FLUSH // 2:
-                    yield passed(*held[0])
-                    held, size = [], 0
-    if held:
-        yield passed(*merged())
-
-
-def _bigrams(frequent: np.ndarray):
-    """Counts of pairs of frequent words, end and all others: a square matrix of fixed size in each task."""
+            own, times = np.unique(Words(batch.column("text").slice(a, b - a)).hashes(), return_counts=True)
+            h, back = np.unique(np.concatenate([h, own]), return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate([n, times])).astype(np.int64)
+            if len(h) > FLUSH:  # words far from the top so far
+                kept = np.argpartition(-n, FLUSH // 2)[: FLUSH // 2]
+                h, n = h[kept], n[kept]
+    top = np.argsort(-n, kind="stable")[:NAMED]
+    yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top])], ["word", "n"])
+
+
+def _bigrams(seeds: np.ndarray):
+    """Counts of pairs of seeds, end and all others: a square matrix of fixed size in each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, size = Index(frequent), len(frequent) + 2
+        index, size = Index(seeds), len(seeds) + 2
         total = np.zeros(size * size, np.int64)
         for batch in batches:
             for a, b in chunks(batch, "text"):
@@ -171,67 +145,94 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     return assigned[:words]
 
 
-class ClassMap:
-    """A word's class: that of the exchange for frequent words, that of its spelling for all others."""
+def gains(table: np.ndarray) -> np.ndarray:
+    """First-order gain of the class bigram likelihood for each neighbour (left, then right) and class."""
+    smooth = table.astype(float) + SMOOTH
+    after = np.log(smooth / smooth.sum(1, keepdims=True))  # after[c, d]: d follows c
+    before = np.log(smooth / smooth.sum(0, keepdims=True))  # before[d, c]: d stands before c
+    return np.concatenate([before[:, :CLASSES], after[:CLASSES].T])
 
-    def __init__(self, frequent: np.ndarray, classes: np.ndarray, spelled: np.ndarray, counts: np.ndarray):
-        self.frequent, self.classes = frequent, classes.astype(np.int64)
-        fits = np.full((4, SPELL, CLASSES), 0.1)
-        weight = np.log1p(counts.astype(float))
-        for k in range(4):
-            np.add.at(fits[k], (spelled[:, k], self.classes), weight)
-        sums = fits.sum(1, keepdims=True)
-        prior = np.bincount(self.classes, weights=weight, minlength=CLASSES) + 0.1
-        self.fits = np.log(fits / sums).astype(np.float32)
-        self.prior = np.log(prior / prior.sum()).astype(np.float32)
-        self._index: Index | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None}
 
-    def __call__(self, h: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        if self._index is None:
-            self._index = Index(self.frequent)
-        at = self._index(h)
-        other = np.flatnonzero(at < 0)
-        out = self.classes[np.maximum(at, 0)] if len(self.classes) else np.zeros(len(h), np.int64)
-        for a in range(0, len(other), 1 << 15):
-            part = other[a : a + (1 << 15)]
-            out[part] = (sum(self.fits[k][spelled[part, k]] for k in range(4)) + self.prior).argmax(1)
-        return out
-
-    def of_words(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes, their classes, and for each word its index among them and their counts."""
-        h, at, back, n = np.unique(words.hashes(), return_index=True, return_inverse=True, return_counts=True)
-        return h, self(h, spelling(words, words.start[at], words.end[at])), back, n
-
-
-def _classes_of_vocabulary(classes: ClassMap):
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            c = classes(batch.column("word").to_numpy().view(np.uint64), unpack_spelling(batch.column("spelling").to_numpy()))
-            n += np.bincount(c, weights=batch.column("n").to_numpy(), minlength=CLASSES).astype(np.int64)
-            v += np.bincount(c, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], ["class", "n", "v"])
+def _contexts(seeds: np.ndarray, classes: np.ndarray):
+    """(word, cells) of the words of a task's texts: how often each neighbour class stands left and right of a word."""
 
-    return total
+    def merged(held: list) -> tuple[np.ndarray, ...]:
+        h, code, n = (np.concatenate([x[k] for x in held]) for k in range(3))
+        order = np.lexsort((code, h))
+        h, code, n = h[order], code[order], n[order]
+        head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (code[1:] != code[:-1])]))
+        return h[head], code[head], np.add.reduceat(n, head)
 
+    def passed(h: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        cells = np.empty(len(h), _CELL)
+        cells["code"], cells["n"] = code, n
+        ends = (np.append(head, len(h)) * _CELL.itemsize).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(cells.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), packed], ["word", "cells"])
 
-def _trigrams(classes: ClassMap):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_STATES**3, np.int64)
+        index, held, size = Index(seeds), [], 0
         for batch in batches:
             for a, b in chunks(batch, "text"):
                 words = Words(batch.column("text").slice(a, b - a))
-                _, c, back, _ = classes.of_words(words)
-                total += np.bincount(histories(c[back], words.first)[0], minlength=_STATES**3)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+                h, back = np.unique(words.hashes(), return_inverse=True)
+                if not len(h):
+                    continue
+                at = index(h)
+                kind = np.where(at >= 0, classes[np.maximum(at, 0)], _OTHER)[back]
+                line, begin = with_ends(kind, words.first, _END)
+                place = np.arange(len(kind)) + np.repeat(begin[:-1] - words.first[:-1], np.diff(words.first))
+                code = np.concatenate([back * _SIDES + line[place - 1], back * _SIDES + _STATES + line[place + 1]])
+                cell, n = np.unique(code, return_counts=True)
+                held.append((h[cell // _SIDES], (cell % _SIDES).astype(np.uint8), n))
+                size += len(cell)
+                if size > FLUSH:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > FLUSH // 2:
+                        yield passed(*held[0])
+                        held, size = [], 0
+        if held:
+            yield passed(*merged(held))
 
     return count
 
 
+def _assign(seeds: np.ndarray, classes: np.ndarray, gain: np.ndarray):
+    """(word, n, class) from contexts whose rows of one word come one after the other."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, last, carried = Index(seeds), np.zeros(0, np.int64), np.zeros((0, _SIDES))
+
+        def told(word: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+            at = index(word.view(np.uint64))
+            kind = np.where(at >= 0, classes[np.maximum(at, 0)] if len(classes) else 0, (seen @ gain).argmax(1))
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(seen[:, :_STATES].sum(1).astype(np.int64)), pa.array(kind.astype(np.int32))], ["word", "n", "class"])
+
+        for batch in batches:
+            word, packed = batch.column("word").to_numpy(), batch.column("cells")
+            if not len(word):
+                continue
+            flat = b"".join(x.as_py() for x in packed)
+            cells = np.frombuffer(flat, _CELL)
+            length = np.array([len(x) for x in packed.to_pylist()]) // _CELL.itemsize
+            row = np.cumsum(np.concatenate([[True], word[1:] != word[:-1]])) - 1
+            seen = np.bincount(np.repeat(row, length) * _SIDES + cells["code"], weights=cells["n"], minlength=(row[-1] + 1) * _SIDES).reshape(-1, _SIDES)
+            word = word[np.concatenate([[True], word[1:] != word[:-1]])]
+            if len(last) and last[0] == word[0]:
+                seen[0] += carried[0]
+            elif len(last):
+                yield told(last, carried)
+            if len(word) > 1:
+                yield told(word[:-1], seen[:-1])
+            last, carried = word[-1:], seen[-1:].copy()
+        if len(last):
+            yield told(last, carried)
+
+    return assign
+
+
 def histories(c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class trigram cell of every token, ends included, in order, and the first token of each text."""
     n = np.diff(first)
@@ -262,115 +263,191 @@ def witten_bell(count: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(p, 1e-300))
 
 
-class Model:
-    """What the scoring pass needs: class map, transitions, class totals and counts of the head words."""
+def _per_text(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the values of each text."""
+    total = np.concatenate([[0.0], np.cumsum(x, dtype=float)])
+    return total[first[1:]] - total[first[:-1]]
+
+
+class Head:
+    """The most frequent words with count and class, and the smoothing of every class."""
 
-    def __init__(self, classes: ClassMap, trigrams: np.ndarray, class_n: np.ndarray, class_v: np.ndarray, head: np.ndarray, head_n: np.ndarray, n: int, v: int, ends: int):
-        self.classes, self.steps = classes, witten_bell(trigrams.reshape((_STATES,) * 3)).reshape(-1)
-        self.class_floor = np.log10(class_n + ALPHA * (class_v + 1))
-        self.head, self.head_n, self.n, self.v, self.ends = head, head_n, n, v, ends
-        self.base_floor = float(np.log10(n + 0.1 * (v + 1)))
-        self._head: Index | None = None
+    def __init__(self, word: np.ndarray, n: np.ndarray, kind: np.ndarray, class_n: np.ndarray, class_v: np.ndarray):
+        self.word, self.n, self.kind = word, n, kind
+        self.floor = np.log10(class_n + ALPHA * (class_v + 1))
+        self.open = int(class_v.argmax())
+        self._index: Index | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_head": None}
+        return self.__dict__ | {"_index": None}
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
-        """For each text: tokens, head tokens known, base and model score without the counts of tail words; and the
-        tail words of all texts (text, word, times)."""
-        if self._head is None:
-            self._head = Index(self.head)
+    def code(self, texts: pa.Array) -> list[pa.Array]:
+        """n_tokens, known head tokens, base and emission sums of head tokens, classes, tail words and their places."""
+        if self._index is None:
+            self._index = Index(self.word)
         words = Words(texts)
-        first, n = words.first, np.diff(words.first)
-        h, c, back, _ = self.classes.of_words(words)
-        at = self._head(h)
+        first = words.first
+        h, back = np.unique(words.hashes(), return_inverse=True)
+        at = self._index(h)
         is_head = at >= 0
-        count = np.where(is_head, self.head_n[np.maximum(at, 0)] if len(self.head_n) else 0, 0)
-        base = np.where(is_head, np.log10(count + 0.1), 0.0)
-        own = np.where(is_head, np.log10(count + ALPHA), 0.0) - self.class_floor[c] if len(c) else np.zeros(0)
-
-        def per_text(x: np.ndarray) -> np.ndarray:
-            sums = np.zeros(len(n))
-            full = np.flatnonzero(n)
-            if len(full):
-                sums[full] = np.add.reduceat(x, first[:-1][full])
-            return sums
-
-        cell, begin = histories(c[back] if len(c) else np.zeros(0, np.int64), first)
-        steps = np.add.reduceat(self.steps[cell], begin[:-1]) if len(n) else np.zeros(0)
-        tokens = n + 1
-        base_sum = per_text(base[back] if len(h) else np.zeros(0)) + np.log10(self.ends + 0.1) - tokens * self.base_floor
-        model_sum = per_text(own[back] if len(h) else np.zeros(0)) + steps
-        known = per_text(is_head[back].astype(float) if len(h) else np.zeros(0)) + (self.ends > 0)
+        n = np.where(is_head, self.n[np.maximum(at, 0)], 0) if len(self.n) else np.zeros(len(h), np.int64)
+        kind = np.where(is_head, self.kind[np.maximum(at, 0)], _TAIL) if len(self.n) else np.full(len(h), _TAIL)
+        base = np.where(is_head, np.log10(n + 0.1), 0.0)
+        own = np.where(is_head, np.log10(n + ALPHA) - self.floor[np.where(is_head, kind, 0)], 0.0)
         tail = np.flatnonzero(~is_head[back]) if len(h) else np.zeros(0, np.int64)
-        code = words.text_of[tail] * len(h) + back[tail]
-        code, times = np.unique(code, return_counts=True)
-        return tokens, known.astype(np.int64), base_sum, model_sum, code // max(1, len(h)), h[code % max(1, len(h))] if len(h) else h, times
+        text_of = words.text_of
+        pairs, place = np.unique(text_of[tail] * max(1, len(h)) + back[tail], return_inverse=True)
+        begin = np.searchsorted(pairs // max(1, len(h)), np.arange(len(words) + 1))
+        token = np.searchsorted(tail, first)
+        ends = lambda x: pa.array(x.astype(np.int32))
+        packed = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(first.astype(np.int32).tobytes()), pa.py_buffer(kind[back].astype(np.uint8).tobytes())])
+        return [
+            pa.array(np.diff(first) + 1), pa.array(_per_text(is_head[back], first).astype(np.int64)), pa.array(_per_text(base[back], first)), pa.array(_per_text(own[back], first)), packed,
+            pa.ListArray.from_arrays(ends(begin), pa.array(h[pairs % max(1, len(h))].view(np.int64))), pa.ListArray.from_arrays(ends(token), ends(place - begin[text_of[tail]])),
+        ]
+
+
+def _coder(head: Head):
+    names = ["row", "doc_id", "n_tokens", "known", "base", "own", "classes", "tails", "places"]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for a, b in chunks(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(b - a)), batch.column("doc_id").slice(a, b - a), *head.code(batch.column("text").slice(a, b - a))], names)
+                row += b - a
 
+    return code
 
-def _scorer(model: Model):
-    schema = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "words", "times"]
+
+def _resolver(head: Head):
+    """Classes of all tokens and the sums of tail tokens, from what the lexicon knows of each text's tail words."""
+    names = ["doc_id", "n_tokens", "known", "base", "own", "classes"]
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.num_rows
+            length = batch.column("tails_n").to_numpy()
+            begin = np.concatenate([[0], np.cumsum(length)])
+            n, kind = np.zeros(begin[-1], np.int64), np.full(begin[-1], head.open)
+            found = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "n", "kind")}
+            for r in range(size):
+                if found["at"][r] is not None and len(found["at"][r]):
+                    at = begin[r] + np.asarray(found["at"][r])
+                    n[at], kind[at] = found["n"][r], found["kind"][r]
+            places, coded = batch.column("places"), batch.column("classes").to_pylist()
+            count = np.diff(places.offsets.to_numpy())
+            flat = places.values.to_numpy()[places.offsets[0].as_py() : places.offsets[-1].as_py()]
+            which = np.repeat(begin[:-1], count) + flat
+            line = np.frombuffer(b"".join(coded), np.uint8).copy()
+            line[line == _TAIL] = kind[which]
+            first = np.concatenate([[0], np.cumsum([len(x) for x in coded])])
+            token = np.concatenate([[0], np.cumsum(count)])
+            packed = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(first.astype(np.int32).tobytes()), pa.py_buffer(line.tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("n_tokens"), pa.array(batch.column("known").to_numpy() + _per_text(n[which] > 0, token).astype(np.int64)),
+                    pa.array(batch.column("base").to_numpy() + _per_text(np.log10(n[which] + 0.1), token)),
+                    pa.array(batch.column("own").to_numpy() + _per_text(np.log10(n[which] + ALPHA) - head.floor[kind[which]], token)), packed,
+                ],
+                names,
+            )
+
+    return resolve
+
+
+def _lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all tokens of a batch and the first token of each text."""
+    coded = batch.column("classes").to_pylist()
+    return np.frombuffer(b"".join(coded), np.uint8).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in coded], dtype=np.int64)])
+
+
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(_STATES**3, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            total += np.bincount(histories(*_lines(batch))[0], minlength=_STATES**3)
+    cell = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], ["cell", "n"])
+
+
+def _scorer(steps: np.ndarray):
+    names = ["doc_id", "n_tokens", "known", "base", "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b in chunks(batch, "text"):
-                tokens, known, base, total, text, word, times = model.score(batch.column("text").slice(a, b - a))
-                ends = np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row + np.arange(b - a)), batch.column("doc_id").slice(a, b - a), pa.array(tokens), pa.array(known), pa.array(base), pa.array(total),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(word.view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32))),
-                    ],
-                    schema,
-                )
-                row += b - a
+            if batch.num_rows:
+                cell, begin = histories(*_lines(batch))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(batch.column("own").to_numpy() + _per_text(steps[cell], begin))], names)
 
     return score
 
 
-def train(docs: DataFrame, scratch: Scratch, frequent: int = EXCHANGE, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model and the table (word, n) of all training words."""
-    texts = docs.filter(fold(F.col("doc_id"), FOLDS) != 0).select("text")
-    ends = texts.count()
-    counted = texts.mapInArrow(_count_words, "word long, spelling long, n long").groupBy("word").agg(F.min("spelling").alias("spelling"), F.sum("n").alias("n"))
-    words = scratch.put(counted, "words")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("n"), "word").limit(head).toArrow()
-    hashes, counts = top["word"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64)
-    few = hashes[:frequent]
-    cells = texts.mapInArrow(_bigrams(few), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros((len(few) + 2) ** 2)
-    pairs[cells["cell"].to_numpy().astype(np.int64)] = cells["n"].to_numpy().astype(np.int64)
-    assigned = exchange(pairs.reshape(len(few) + 2, -1), CLASSES, ROUNDS)
-    classes = ClassMap(few, assigned, unpack_spelling(top["spelling"].to_numpy().astype(np.int64)[:frequent]), counts[:frequent])
-    totals = words.mapInArrow(_classes_of_vocabulary(classes), "class long, n long, v long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in totals:
-        class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
-    cells = texts.mapInArrow(_trigrams(classes), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    trigrams = np.zeros(_STATES**3)
-    trigrams[cells["cell"].to_numpy().astype(np.int64)] = cells["n"].to_numpy().astype(np.int64)
-    kinds = int(v) + (ends > 0)
-    return Model(classes, trigrams, class_n, class_v, hashes, counts, int(n) + ends, kinds, ends), words
+def _counts(cells: DataFrame, size: int) -> np.ndarray:
+    """A vector of counts from rows (cell, n); the parameter fixes its size."""
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    made = np.zeros(size)
+    made[found["cell"].to_numpy().astype(np.int64)] = found["n"].to_numpy().astype(np.int64)
+    return made
+
+
+def lexicon(texts: DataFrame, scratch: Scratch, seeds: int = SEEDS) -> DataFrame:
+    """word, n, class of every word of the texts."""
+    named = texts.mapInArrow(_named, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = scratch.put(named, "named").orderBy(F.desc("n"), "word").limit(seeds).toArrow()
+    few = top["word"].to_numpy().astype(np.int64).view(np.uint64)
+    size = len(few) + 2
+    pairs = _counts(texts.mapInArrow(_bigrams(few), "cell long, n long"), size * size).reshape(size, size)
+    classes = exchange(pairs, CLASSES, ROUNDS)
+    member = np.zeros((size, _STATES))
+    member[np.arange(size), np.concatenate([classes, [_END, _OTHER]])] = 1
+    gain = gains(member.T @ pairs @ member)
+    met = texts.mapInArrow(_contexts(few, classes), "word long, cells binary").repartition("word").sortWithinPartitions("word")
+    return scratch.put(met.mapInArrow(_assign(few, classes, gain), "word long, n long, class int"), "lexicon")
+
 
+def head_of(words: DataFrame, most: int) -> pa.Table:
+    """The most frequent words, at most so many: all words from the least count that leaves no more of them.
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    The count is read off a histogram of at most 4096 bins an octave, so no task orders the words.
+    """
+    n = F.col("n")
+    low = F.when(n <= 4096, n).otherwise(F.ceil(F.pow(F.lit(2.0), F.floor(F.log2(n / 4096.0) * 4096) / 4096) * 4096))
+    bins = words.groupBy(low.cast("long").alias("low")).agg(F.count("*").alias("k")).orderBy(F.desc("low")).collect()
+    least, held = None, 0
+    for b in bins:
+        held += b["k"]
+        if held > most:
+            break
+        least = b["low"]
+    return words.filter(low.cast("long") >= (least if least is not None else 1 << 62)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: int = SEEDS, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row."""
     scratch = Scratch(docs.sparkSession, "brown")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model, words = train(rows, scratch)
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, words array<long>, times array<int>"
-    scored = scratch.put(rows.mapInArrow(_scorer(model), schema), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("times"))
-    met = tail.join(words.select("word", "n"), "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = met.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10(F.col("n") + 0.1)).alias("base_more"),
-        F.sum(F.col("times") * F.log10(F.col("n") + ALPHA)).alias("more"),
-    )
-    out = scored.drop("words", "times").join(sums, "row", "left")
+    learnt = fold(F.col("doc_id"), FOLDS) != 0
+    texts = rows.filter(learnt).select("text")
+    ends = texts.count()
+    words = lexicon(texts, scratch, seeds)
+    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
+    total, kinds = int(class_n.sum()) + ends, int(class_v.sum()) + (ends > 0)
+    top = head_of(words, head)
+    known = Head(top["word"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(np.int64), top["class"].to_numpy().astype(np.int64), class_n, class_v)
+
+    schema = "row long, doc_id long, n_tokens long, known long, base double, own double, classes binary, tails array<long>, places array<int>"
+    coded = scratch.put(rows.mapInArrow(_coder(known), schema), "coded")
+    tail = coded.select("row", F.posexplode("tails").alias("at", "word")).join(words, "word").groupBy("row").agg(F.collect_list(F.struct("at", "n", F.col("class").alias("kind"))).alias("found"))
+    joined = coded.join(tail, "row", "left").select("doc_id", "n_tokens", "known", "base", "own", "classes", "places", F.size("tails").alias("tails_n"), "found.at", "found.n", "found.kind")
+    resolved = scratch.put(joined.mapInArrow(_resolver(known), "doc_id long, n_tokens long, known long, base double, own double, classes binary"), "resolved")
+    scratch.drop(coded, words)
+    steps = witten_bell(_counts(resolved.filter(learnt).mapInArrow(_trigrams, "cell long, n long"), _STATES**3).reshape((_STATES,) * 3)).reshape(-1)
+    out = resolved.mapInArrow(_scorer(steps), "doc_id long, n_tokens long, known long, base double, score double")
+    tokens, floor = F.col("n_tokens"), float(np.log10(total + 0.1 * (kinds + 1)))
     return out.select(
-        "doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        "doc_id", (~learnt).alias("held_out"), "n_tokens", (F.col("known") + F.lit(int(ends > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.lit(float(np.log10(ends + 0.1))) - tokens * F.lit(floor)).alias("base_score"), "score",
     )
