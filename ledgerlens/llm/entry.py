@@ -110,7 +110,7 @@ FROM b
 """
 
 OP6_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS name FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1 AS weight FROM s),
 c AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o, 0))::BIGINT AS pool,
@@ -119,7 +119,7 @@ c AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o
 f AS (SELECT arg_min(pool / weight_left, source_size / weight) AS level FROM c WHERE pool / weight_left * weight <= 3 * source_size),
 t AS (SELECT source, source_size, coalesce(least((3 * source_size)::DOUBLE, level * weight), 0.0) AS target FROM c, f),
 r AS (SELECT d.*, source_size, target, target / nullif(source_size, 0) AS rate,
-  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  ('0x' || substr(md5('mix:' || name), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
   coalesce(floor(rate) + (u < rate - floor(rate))::INT, 0)::BIGINT * size AS taken FROM r
