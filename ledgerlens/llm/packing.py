@@ -2,11 +2,13 @@
 
 The histogram of all lengths has at most about 1,600 bins (exact up to 256 words, then 64 bins an octave), each with
 its count, sum and largest length; dynamic programming over the bins chooses the bucket bounds of least padding.
-Inside a bucket, batches hold floor(token budget / bound) rows each.  Positions come from counts of small chunks and
-their prefix sums, so no task holds a bucket.
+The budget is the last bound there can be: sequences over it stay out of the histogram.  Inside a bucket, batches hold
+floor(token budget / bound) rows each.  Positions come from counts of small chunks and their prefix sums, so no task
+holds a bucket; rows of one id, or of none, are spread by a number of their own.
 
-Defined results: a null text is an empty sequence of length 0; a sequence longer than the budget is a batch of its
-own (oversize); equal rows take different slots; an empty table gives an empty result; other columns are not read.
+Defined results: a null text is an empty sequence of length 0; a sequence longer than the budget is a batch of its own
+(oversize, in a last bucket without padding); equal rows take different slots; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -64,30 +66,31 @@ def pack(docs: DataFrame, budget: int = 8192, buckets: int = 12, id_col: str = "
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    sized = scratch.put(docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("n_tokens")), "sized")
-    bins = sized.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("s"), F.max("n_tokens").alias("m")).orderBy("bin").collect()
-    count, total, most = (np.array([b[k] for b in bins], dtype=np.int64) for k in ("n", "s", "m"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("n_tokens"), F.monotonically_increasing_id().alias("_row"))
+    sized = scratch.put(sized, "sized")
+    n, over = F.col("n_tokens"), F.col("n_tokens") > budget
+    bins = sized.groupBy(over.alias("over"), F.when(~over, bin_of(n)).alias("bin")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("s"), F.max("n_tokens").alias("m")).orderBy("bin").collect()
+    alone = sum(b["n"] for b in bins if b["over"])
+    count, total, most = (np.array([b[k] for b in bins if not b["over"]], dtype=np.int64) for k in ("n", "s", "m"))
     bounds = best_bounds(count, total, most, buckets) or [0]
     rows = [int(count[(most <= b) & (most > (bounds[i - 1] if i else -1))].sum()) for i, b in enumerate(bounds)]
 
-    n = F.col("n_tokens")
-    bucket = sum(((n > b).cast("int") for b in bounds[:-1]), F.lit(0))
+    bucket = F.when(over, len(bounds)).otherwise(sum(((n > b).cast("int") for b in bounds[:-1]), F.lit(0)))
     pick = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("bucket") + 1)
-    mixed = F.xxhash64(id_text(F.col("doc_id")), n)
     dealt = (
         sized.withColumn("bucket", bucket)
-        .withColumn("padded_len", pick(bounds, "long"))
-        .withColumn("room", pick([max(1, budget // max(1, b)) for b in bounds], "long"))
-        .withColumn("_hash", mixed)
-        .withColumn("chunk", F.pmod("_hash", pick([max(1, -(-r // CHUNK_ROWS)) for r in rows], "long")))
+        .withColumn("padded_len", F.when(over, n).otherwise(pick([*bounds, 0], "long")))
+        .withColumn("room", pick([*[max(1, budget // max(1, b)) for b in bounds], 1], "long"))
+        .withColumn("_hash", F.xxhash64(id_text(F.col("doc_id")), n, F.col("_row")))
+        .withColumn("chunk", F.pmod("_hash", pick([max(1, -(-r // CHUNK_ROWS)) for r in [*rows, alone]], "long")))
     )
     counts = dealt.groupBy("bucket", "chunk").agg(F.count("*").alias("_rows"))
     offsets = counts.select("bucket", "chunk", (F.sum("_rows").over(Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")).alias("_offset"))
-    inside = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("_hash", "doc_id")) - 1)
+    inside = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("_hash", "_row")) - 1)
     placed = inside.join(offsets, ["bucket", "chunk"]).withColumn("_at", F.col("_at") + F.col("_offset"))
     return placed.select(
         "doc_id", "n_tokens", "bucket", "padded_len",
         (F.shiftleft(F.col("bucket").cast("long"), 40) + F.floor(F.col("_at") / F.col("room"))).alias("batch_id"),
         F.pmod("_at", "room").alias("slot"),
-        (n > budget).alias("oversize"),
+        over.alias("oversize"),
     )
