@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import Scratch, table
 from ledgerlens.llm.mixing import emit
-from ledgerlens.llm.near_dedup import near_dedup
+from ledgerlens.llm.near_dedup import drop_copies
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.quality_rules import quality_rules
 from ledgerlens.llm.toxicity import drop_toxic
@@ -24,9 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that a quality rule rejects go."""
     row = docs.select(F.struct(*COLUMNS).alias("doc_id"), "text")
-    judged = quality_rules(row).select("doc_id", "kept", F.monotonically_increasing_id().alias("at"))
-    # The row number holds the filter above the projections: pushed below them, it would compute each statistic many times.
-    return judged.filter("kept and at >= 0").select("doc_id.*")
+    return quality_rules(row).filter("kept").select("doc_id.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +37,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows equal in id and text count once; documents without an id belong to no group and stay.
     """
-    kept = near_dedup(docs, SIMILARITY).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = Scratch(spark, "kept").put(kept, "ids")
-    rows = docs.select(*COLUMNS)
-    one = rows.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
-    if not kept.filter("n > 1").isEmpty():  # repeated ids: the only rows whose texts must meet
-        once = rows.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
-        more = rows.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        one = once.select(*COLUMNS).union(more.select(*COLUMNS))
-    return one.union(rows.filter("doc_id is null"))
+    return drop_copies(docs.select(*COLUMNS), SIMILARITY)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
