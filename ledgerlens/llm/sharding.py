@@ -17,6 +17,7 @@ gives a store without runs; columns are kept under their own names, whatever the
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +48,15 @@ class ShardStore:
 
     def version(self) -> int:
         """The last committed version; 0 before the first."""
-        names = [f.getPath().getName() for f in self._list(f"{self.root}/manifest")]
-        return max([int(n[1:7]) for n in names if n.startswith("v") and n.endswith(".json")], default=0)
+        return max(self.versions(), default=0)
+
+    def versions(self) -> list[int]:
+        """All versions that can be read."""
+        names = [re.fullmatch(r"v(\d+)\.json", f.getPath().getName()) for f in self._list(f"{self.root}/manifest")]
+        return sorted(int(n[1]) for n in names if n)
 
     def manifest(self, version: int | None = None) -> dict:
-        """{"version", "schema", "runs": [{"name", "bytes", "tier"}]} of a version, the last by default."""
+        """{"version", "schema", "runs": [{"name", "bytes"}]} of a version, the last by default."""
         version = self.version() if version is None else version
         if not version:
             return {"version": 0, "schema": None, "runs": []}
@@ -79,19 +84,22 @@ class ShardStore:
             raise
         return base + 1
 
-    def _runs(self, folder: str, tier: int) -> list[dict]:
+    def _runs(self, folder: str) -> list[dict]:
         files = [(f.getPath().getName(), f.getLen()) for f in self._list(f"{self.root}/{folder}")]
-        return [{"name": f"{folder}/{n}", "bytes": int(size), "tier": tier} for n, size in sorted(files) if n.startswith("part-")]
+        return [{"name": f"{folder}/{n}", "bytes": int(size)} for n, size in sorted(files) if n.startswith("part-")]
 
     def append(self, rows: DataFrame, rows_a_shard: int) -> int:
         """Add rows as small immutable shards of at most rows_a_shard rows."""
         now = self.manifest()
         folder = f"data/{now['version'] + 1:06d}-{uuid.uuid4().hex[:8]}"
         rows.write.option("maxRecordsPerFile", rows_a_shard).parquet(f"{self.root}/{folder}")
-        return self.commit(now["version"], now["runs"] + self._runs(folder, 0), rows.schema.json())
+        return self.commit(now["version"], now["runs"] + self._runs(folder), rows.schema.json())
+
+    def compact(self, target: int, keep: int = 2) -> int:
+        """Merge tiers until none holds FAN runs below the target size; files that none of the last keep versions names go.
 
-    def compact(self, target: int, keep: int = 1) -> int:
-        """Merge tiers until none holds FAN runs below the target size; then drop files of all but keep versions."""
+        With two versions or more, readers of the version before keep their files while a merge commits.
+        """
         while True:
             now = self.manifest()
             merges, runs = plan(now["runs"], target)
@@ -101,7 +109,7 @@ class ShardStore:
             for at in range(0, len(merges), AT_ONCE):
                 folder = f"data/{now['version'] + 1:06d}-{at:06d}-{uuid.uuid4().hex[:8]}"
                 self._write(merges[at : at + AT_ONCE], folder, now["schema"])
-                runs += [r | {"tier": max(m["tier"] for m in merges[at]) + 1} for r in self._runs(folder, 0)]
+                runs += self._runs(folder)
             self.commit(now["version"], sorted(runs, key=lambda r: r["name"]), now["schema"])
             self.vacuum(keep)
 
@@ -123,20 +131,23 @@ class ShardStore:
         found = self.manifest(version)
         return self._read([r["name"] for r in found["runs"]], found["schema"])
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete files that none of the last keep versions names, and older manifests."""
-        last = self.version()
-        named = {r["name"] for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v)["runs"]}
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete files that none of the last keep versions names, and older manifests; one look at each folder and file."""
+        have = self.versions()
+        named: dict[str, set[str]] = {}
+        for v in have[-keep:]:
+            for r in self.manifest(v)["runs"]:
+                folder, name = r["name"].rsplit("/", 1)
+                named.setdefault(folder, set()).add(name)
         for folder in self._list(f"{self.root}/data"):
             base = f"data/{folder.getPath().getName()}"
-            held = [n for n in named if n.startswith(f"{base}/")]
-            if not held:
+            if base not in named:
                 delete(self.spark, f"{self.root}/{base}")
                 continue
             for f in self._list(f"{self.root}/{base}"):
-                if f.getPath().getName().startswith("part-") and f"{base}/{f.getPath().getName()}" not in named:
+                if f.getPath().getName().startswith("part-") and f.getPath().getName() not in named[base]:
                     self._fs.delete(f.getPath(), False)
-        for v in range(1, last - keep + 1):
+        for v in have[:-keep]:
             self._fs.delete(self._path(f"{self.root}/manifest/v{v:06d}.json"), False)
 
 

@@ -217,7 +217,7 @@ def test_sharding(spark, docs, empty, tmp_path):
         store.commit(now["version"] - 1, [], now["schema"])
     rows = sharding.shard_rows(store).collect()
     assert len(rows) == docs.count() and {r["shard"] for r in rows} <= {r["name"] for r in now["runs"]}
-    merges, rest = sharding.plan([{"name": str(k), "bytes": b, "tier": 0} for k, b in enumerate([12, 13, 11, 14, 12, 90, 3])], 40)
+    merges, rest = sharding.plan([{"name": str(k), "bytes": b} for k, b in enumerate([12, 13, 11, 14, 12, 90, 3])], 40)
     assert sorted(r["bytes"] for r in rest) == [3, 90] and all(len(m) > 1 for m in merges)
     assert sharding.compacted(empty, str(tmp_path / "e")).read().count() == 0
 
@@ -236,7 +236,7 @@ def test_fingerprints(spark, docs, empty):
     assert len(twice) == 2 * len(texts) and sum(r["near_next"] == 1 for r in twice) >= len(texts)
     assert fingerprint.fingerprints(empty).count() == 0
     a = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
-    h = [r["hash"] for r in fingerprint.anchor_table(a).first()["anchors"]]
+    h = [r["code"] for r in fingerprint.anchor_table(a).first()["anchors"]]
     assert h and len(h) <= 5
 
 
