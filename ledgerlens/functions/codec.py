@@ -27,6 +27,12 @@ def to_int(text: Column) -> Column:
     return F.expr("cast(try_cast(`{0}` as decimal(38,9)) as bigint)".format(text)) if isinstance(text, str) else text.try_cast("decimal(38,9)").try_cast("bigint")
 
 
+def hex_int(text: Column) -> Column:
+    """0x-prefixed hex text of at most 16 digits as DECIMAL(20,0), or NULL."""
+    digits = F.regexp_extract(text, "^0[xX]([0-9a-fA-F]{1,16})$", 1)
+    return F.when(F.length(digits) > 0, F.conv(F.nullif(digits, F.lit("")), 16, 10).cast("decimal(20,0)"))
+
+
 def u128(hex_text: Column) -> tuple[Column, Column]:
     """(high, low) halves as DECIMAL(20,0) of a little-endian 16-byte amount; NULL if fewer than 32 hex digits lead."""
     digits = F.lower(F.regexp_replace(hex_text, "^0x", ""))

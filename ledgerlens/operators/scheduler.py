@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +77,40 @@ def evidence_state(collection_state: Column, detail: Column, inputs: Column) ->
     )
 
 
-def retry_advice(states: DataFrame) -> DataFrame:
-    """Unfinished wallets with a category of their last error and a recommendation."""
-    error = F.lower(F.coalesce("last_error", F.lit("")))
-    kind = F.when(error.like("%timeout%"), "TIMEOUT").when(error.like("%rate%limit%") | error.like("%429%"), "RATE_LIMIT").when(error.like("%not found%") | error.like("%404%"), "NOT_FOUND").otherwise("OTHER")
+#: Error types of a service that may answer later, and of faults that need a change of code.
+SERVICE_ERRORS = ("EXPLORER_TIMEOUT", "EXPLORER_RATE_LIMIT", "EXPLORER_HTTP_ERROR", "EXPLORER_NETWORK_ERROR", "RETRY_EXHAUSTED", "EXPLORER_UNAVAILABLE")
+CODE_ERRORS = ("CACHE_CORRUPTION", "SCHEMA_INCOMPATIBILITY", "PARSER_NORMALIZATION_ERROR")
+INVALID_ADDRESS = "%invalid frozen wallet address%"
+
+
+def migrate_failures(states: DataFrame) -> DataFrame:
+    """Wallets in the old state FAILED get the state that their last error tells, with its type and scope where unset."""
+    invalid = F.lower(F.coalesce("last_error", F.lit(""))).like(INVALID_ADDRESS)
+    old = F.col("collection_state") == "FAILED"
+    return states.select(
+        *[c for c in states.columns if c not in ("collection_state", "last_error_type", "failure_scope")],
+        F.when(old & invalid, "FAILED_INVALID_ADDRESS").when(old, "FAILED_RETRY_EXHAUSTED").otherwise(F.col("collection_state")).alias("collection_state"),
+        F.when(old, F.coalesce("last_error_type", F.when(invalid, "INVALID_ADDRESS").otherwise("RETRY_EXHAUSTED"))).otherwise(F.col("last_error_type")).alias("last_error_type"),
+        F.when(old, F.coalesce("failure_scope", F.lit("WALLET"))).otherwise(F.col("failure_scope")).alias("failure_scope"),
+    )
+
+
+def retry_candidates(states: DataFrame) -> DataFrame:
+    """Unfinished wallets with the category of their last error and a recommendation."""
+    service, code = F.col("last_error_type").isin(*SERVICE_ERRORS), F.col("last_error_type").isin(*CODE_ERRORS)
     todo = states.filter(F.col("collection_state").isin("PARTIAL", "FAILED_RETRY_EXHAUSTED"))
-    return todo.select("address", "collection_state", kind.alias("error_category"), F.when(kind == "NOT_FOUND", "EXCLUDE").when(kind == "RATE_LIMIT", "RETRY_LATER").otherwise("RETRY").alias("recommendation"))
+    return todo.select(
+        "address", "collection_state", F.when(service, "Explorer timeout/service").when(code, "schema/data issue").otherwise("other").alias("failure_category"),
+        F.when(service, "RETRY_LATER").when(code, "NEEDS_CODE_FIX").otherwise("NEEDS_MANUAL_REVIEW").alias("recommendation"),
+    )
+
+
+def freeze(contract: dict, frozen: dict | None) -> dict:
+    """The contract with the digest of its content; a frozen one of the same content is returned, any other is refused."""
+    digest = hashlib.sha256(json.dumps(contract, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    if frozen is not None and frozen.get("digest") != digest:
+        raise ValueError("the frozen contract has another content")
+    return frozen if frozen is not None else contract | {"digest": digest}
 
 
 def safety_stop(summary: dict, limits: dict) -> str | None:
