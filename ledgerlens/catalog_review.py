@@ -10,6 +10,7 @@ from ledgerlens.catalog import query, tidied
 from ledgerlens.catalog_first import first_matrix
 from ledgerlens.functions import codec
 from ledgerlens.operators import cells as C
+from ledgerlens.operators import explore as X
 from ledgerlens.operators import first as V
 from ledgerlens.operators import review as W
 from ledgerlens.operators import rules as R
@@ -160,3 +161,33 @@ def hex_capacities(spark: SparkSession, d: str) -> DataFrame:
 def seed_addresses(spark: SparkSession, d: str) -> DataFrame:
     blocks = load(spark, d, "events").select(F.col("event_id").alias("number"), F.array(F.col("user_id").cast("string"), "event_type").alias("addresses"))
     return W.seed_addresses(blocks, 50).withColumnRenamed("block", "number")
+
+
+@query("seen_payloads", tidied(Q.with_(Q.EVENTS), f"(SELECT wallet, tx, length(props) AS n FROM ev WHERE ts >= {K.WINDOW_START + 86400} AND ts < {K.WINDOW_START + 8 * 86400})", ["wallet", "tx", "n"]))
+def seen_payloads(spark: SparkSession, d: str) -> DataFrame:
+    e = event_stream(spark, d)
+    met = K.N.seen_payloads(e.select("wallet", "tx", "ts"), e.select("tx", "props"), K.WINDOW_START + 86400, K.WINDOW_START + 8 * 86400)
+    return met.select("wallet", "tx", F.length("props").alias("n"))
+
+
+def _components(spark: SparkSession, d: str) -> tuple[DataFrame, list, DataFrame]:
+    scaled = K._scaled(spark, d, K.EXPLORED)
+    _, names, x = X.to_matrix(scaled)
+    axes = X.pca(x)[1]
+    return scaled, X.loadings(names, axes), X.scores_long(scaled, names, x, axes)
+
+
+@query("pca_loadings")
+def pca_loadings(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(_components(spark, d)[1], "k long, feature string, loading double, family string, share double, dominant boolean")
+
+
+@query("pca_tails")
+def pca_tails(spark: SparkSession, d: str) -> DataFrame:
+    return X.tails(_components(spark, d)[2]).withColumnRenamed("component", "k")
+
+
+@query("pca_activity")
+def pca_activity(spark: SparkSession, d: str) -> DataFrame:
+    tx = order_stream(spark, d).groupBy("wallet").agg(F.count("*").cast("double").alias("level")).select("wallet", F.lit("transactions").alias("metric"), "level")
+    return X.activity_of_components(_components(spark, d)[2], tx).withColumnRenamed("component", "k")

@@ -16,6 +16,28 @@ BECH32_SUMS = (1, 0x2BC830A3)
 HASH_TYPES = {"data": 0, "type": 1, "data1": 2, "data2": 4}
 PERSON = b"ckb-default-hash"
 
+#: Registered scripts by code hash and hash type.
+SCRIPTS = {
+    ("0x9bd7e06f3ecf4be0f2fcd2188b23f1b9fcc88e5d4b65a8637b17723bbda3cce8", "type"): "SECP256K1_BLAKE160",
+    ("0x5c5069eb0857efc65e1bca0c07df34c31663b3622fd3876c876320fc9634e2a8", "type"): "SECP256K1_MULTISIG",
+    ("0x82d76d1b75fe2fd9a27dfbaa65a039221a380d76c926f378d3f81cf3e7e13f2e", "type"): "NERVOS_DAO",
+    ("0x00000000000000000000000000000000000000000000000000545950455f4944", "type"): "TYPE_ID",
+    ("0x50bd8d6680b8b9cf98b73f3c08faf8b2a21914311954118ad6609be6e78a1b95", "data1"): "XUDT",
+}
+
+
+def script_family(code_hash: Column, hash_type: Column) -> Column:
+    """The registered family of a script, by both its code hash and its hash type, or UNKNOWN."""
+    known = F.create_map(*[F.lit(x) for (code, kind), family in SCRIPTS.items() for x in (f"{code}/{kind}", family)])
+    return F.coalesce(F.element_at(known, F.concat(code_hash, F.lit("/"), hash_type)), F.lit("UNKNOWN"))
+
+
+def family_or_digest(code_hash: Column, hash_type: Column, digest: Column, target: Column | None = None) -> Column:
+    """TARGET for a script of the wallet itself, else its registered family, else its digest, else UNKNOWN."""
+    family = script_family(code_hash, hash_type)
+    named = F.when(family != "UNKNOWN", family).otherwise(F.coalesce(digest, F.lit("UNKNOWN")))
+    return named if target is None else F.when(F.coalesce(target, F.lit(False)), "TARGET").otherwise(named)
+
 
 def epoch_seconds(v: Column) -> Column:
     """Seconds of an epoch given in seconds or milliseconds."""

@@ -115,6 +115,16 @@ def in_window(ts: Column, start: int, end: int) -> Column:
     return (ts >= start) & (ts < end)
 
 
+def listed(rows: DataFrame, end: int, ts: str = "ts") -> DataFrame:
+    """Listing items before the end of a window; those without a time are kept."""
+    return rows.filter(F.col(ts).isNull() | (F.col(ts) < end))
+
+
+def seen_payloads(seen: DataFrame, raw: DataFrame, start: int, end: int) -> DataFrame:
+    """Raw payloads of the transactions that each address was seen in within [start, end)."""
+    return seen.filter(in_window(F.col("ts"), start, end)).join(raw, "tx")
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))).filter("_k = 1").drop("_k")

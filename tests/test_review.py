@@ -4,10 +4,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import codec
+from ledgerlens.operators import explore as X
 from ledgerlens.operators import first as V
 from ledgerlens.operators import review as W
 from ledgerlens.operators import scheduler as P
@@ -70,3 +72,34 @@ def test_cutoffs_one_by_one(spark):
     assert got["interarrival_cv"] == (False, True, True, "threshold-sensitive") and got["ALL"] == (False, True, False, "threshold-sensitive")
     rule = {r["rule"]: r for r in V.evaluate(m).collect()}
     assert rule["PERIODIC_EXECUTION"]["supported"] and rule["PERIODIC_EXECUTION"]["score"] == 1 and rule["BATCH_DISTRIBUTION"]["score"] == 0
+
+
+def test_scripts_are_named_by_code_hash_and_type(spark):
+    code = next(c for (c, k), f in codec.SCRIPTS.items() if f == "XUDT")
+    rows = spark.createDataFrame([(code, "data1", "0x1", False), (code, "type", "0x2", False), (None, "type", None, False), (code, "data1", "0x3", True)], "code string, kind string, digest string, own boolean")
+    got = [r[0] for r in rows.select(codec.family_or_digest(F.col("code"), F.col("kind"), F.col("digest"), F.col("own"))).collect()]
+    assert got == ["XUDT", "0x2", "UNKNOWN", "TARGET"]
+
+
+def test_scores_and_loadings_agree_with_the_matrix(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3)) @ np.array([[2, 1, 0], [0, 1, 0.5], [0, 0, 0.3]])
+    names = ["a__x", "a__y", "b__z"]
+    scaled = spark.createDataFrame([(w, n, float(x[w, i])) for w in range(40) for i, n in enumerate(names)] + [(99, "a__x", 1.0)], "wallet long, feature string, scaled double")
+    _, axes, scores = X.pca(x)
+    long = X.scores_long(scaled, names, x, axes)
+    got = {(r["wallet"], r["component"]): r["score"] for r in long.collect()}
+    assert len(got) == 120 and all(got[w, k + 1] == pytest.approx(scores[w, k]) for w in range(40) for k in range(3))
+    rows = X.loadings(names, axes)
+    for k in (1, 2, 3):
+        assert sum(v * v for c, _, v, *_ in rows if c == k) == pytest.approx(1) and sum({f: s for c, _, _, f, s, _ in rows if c == k}.values()) == pytest.approx(1)
+    low = [r["wallet"] for r in X.tails(long).filter("component = 1 and tail = 'LOW'").orderBy("place").collect()]
+    assert low == list(np.argsort(scores[:, 0])[:5])
+
+
+def test_labels_of_a_wallet_never_reach_its_features(spark):
+    rows = [(w, 10 * w + k, 100 * k * k + w, 10 * w + k) for w in range(3) for k in range(9)]
+    tx = spark.createDataFrame(rows, "wallet long, tx long, ts long, idx long")
+    marked = tx.withColumn("label", F.lit("EXCHANGE")).withColumn("stratum", F.rand(3)).withColumn("collection_state", F.col("wallet").cast("string"))
+    for family in (T.temporal_features, V.temporal, lambda d: T.periodicity_features(d, 0)):
+        assert family(tx).exceptAll(family(marked)).isEmpty() and family(tx).columns == family(marked).columns
