@@ -3,8 +3,8 @@
 A text's units are its words, long ones cut into pieces of 16 characters, with characters of scripts written without
 spaces standing alone.  A k-mer is K units in a row; its inner substrings are its runs of S units, ordered by hash.  It
 is a closed syncmer if its least inner substring is its first or its last: a choice that depends on the k-mer alone, so
-an edit moves no anchor outside of it.  (Units are words since character k-mers cost about 9 microseconds a character in
-DataFrame functions, three times the limit of the check tool; see the README.)
+an edit moves no anchor outside of it.  (Units are words since character k-mers in DataFrame functions cost several times
+what the check tool allows; the README has the figures.)
 
 An anchor is a syncmer's position and hash.  Each anchor is printed as a link: a hash of its own code, of the code of the
 anchor before it and of the distance between both.  So a link matches where two texts hold the same two anchors equally
