@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import cells as C
 from ledgerlens.operators import temporal as T
 from ledgerlens.operators.rules import join_families
-from ledgerlens.sources.adapters import cell_graph, order_stream
+from ledgerlens.sources.adapters import build_cells, cell_graph, order_stream
 from ledgerlens.sources.store import once
 
 #: Start of the weekly windows over orders: 1995-01-01T00:00:00Z.
@@ -18,7 +18,8 @@ FAMILIES = ("temporal", "periodicity", "topology", "lifecycle", "templates", "sc
 
 def order_families(spark: SparkSession, sf_dir: str, wallets: list[int] | None = None) -> dict[str, DataFrame]:
     """All nine families of the order graph; a list of wallets is pushed down to the scans."""
-    tx, cells = order_stream(spark, sf_dir), cell_graph(spark, sf_dir)
+    tx = order_stream(spark, sf_dir)
+    cells = cell_graph(spark, sf_dir) if wallets is None else build_cells(spark, sf_dir)
     if wallets is not None:
         tx, cells = tx.filter(F.col("wallet").isin(wallets)), cells.filter(F.col("wallet").isin(wallets))
     tx = tx.select("wallet", "tx", "ts", "idx")
