@@ -145,3 +145,34 @@ def test_quality_scores_match_plain_densities(spark):
         d = density[1] - density[0] + math.log(model.share / (1 - model.share))
         d = math.copysign(math.log1p(abs(d)), d)
         assert score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, model.slope * d + model.shift)))), abs=1e-6)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    rows, labels = blobs(spark)
+    rows = [(k, t + " alpha beta gamma" * 2500 if toxic else t, lang) for (k, t, lang), (_, _, toxic) in zip(rows, labels, strict=True)]
+    assert min(len(t) for (_, t, _), (_, _, toxic) in zip(rows, labels, strict=True) if toxic) > 1 << 15
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, marks).collect()}
+    assert sum(found[k] == toxic for k, _, toxic in labels) >= 0.9 * len(labels)
+
+
+def test_toxicity_counts_every_labelled_row_in_any_layout(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(["one", "two", "three", "four", "five"]) for _ in range(k % 9)) + (" vile" if k % 3 == 0 else ""), None) for k in range(5200)]
+    labels = [(k, int(k % 3 == 0)) for k, _, _ in rows if k % 7]
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    learnt = [(k, y) for k, y in labels if not held_out(k, toxicity.FOLDS)]
+    models = []
+    for parts in (1, 6):
+        shards = toxicity.deal(docs.repartition(parts), marks, "toxic", Scratch(spark, "test"), 1 << 14).cache()
+        assert shards.count() > 3
+        counts = toxicity.total(shards, toxicity.Shard.counts)
+        assert list(counts[toxicity.ROWS + 1]) == [sum(y == k for _, y in learnt) for k in (0, 1)]
+        kept = {i for s in toxicity._shards(shards.toArrow().to_batches()) for i in [(s.number, int(s.kept.sum()), len(s.label))]}
+        assert counts[toxicity.ROWS].sum() == sum(n - k for _, k, n in kept)
+        at = toxicity.token_rows(pa.array(["vile"]))[0][0]
+        assert all(counts[a, 1] == counts[toxicity.ROWS, 1] and counts[a, 0] == 0 for a in at[:1])
+        models.append(toxicity.train(docs.repartition(parts), marks, size=1 << 14))
+    assert models[0].shift == models[1].shift and np.array_equal(models[0].matrix(), models[1].matrix())
+    scores = models[0].score(pa.array([t for _, t, _ in rows]))
+    assert all((s >= 0.5) == (k % 3 == 0) for s, (k, _, _) in zip(scores, rows, strict=True))
