@@ -8,7 +8,8 @@ from ledgerlens.catalog import query, tidied
 from ledgerlens.operators import first as V
 from ledgerlens.operators.rules import join_families
 from ledgerlens.plans import first_sql as Q
-from ledgerlens.sources.adapters import cell_graph, order_stream
+from ledgerlens.sources.adapters import cell_graph, graph_files, order_stream
+from ledgerlens.sources.store import once
 
 TEMPORAL = [
     "wallet", "n_observed_transactions", "interarrival_mean_seconds", "interarrival_median_seconds", "interarrival_std_seconds", "interarrival_cv", "burstiness", "active_hour_entropy", "active_weekday_entropy", "interval_repeat_ratio",
@@ -56,7 +57,8 @@ def first_capacity(spark: SparkSession, d: str) -> DataFrame:
 def first_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The families that the rules read, one row a wallet."""
     tx, cells = order_stream(spark, d), cell_graph(spark, d)
-    return join_families({"temporal": V.temporal(tx), "topology": V.topology(tx, cells), "templates": V.templates(V.template_hashes(tx, cells))})
+    plans = {"temporal": lambda: V.temporal(tx), "topology": lambda: V.topology(tx, cells), "templates": lambda: V.templates(V.template_hashes(tx, cells))}
+    return join_families({name: once(spark, f"first_{name}", graph_files(d), build, by="wallet", dealt=True) for name, build in plans.items()})
 
 
 @query("rules_v1", tidied(_sql(Q.MATRIX, Q.RULES), "ar", ["wallet", "score"], ("rule", "support_state", "reasons", "supported")))

@@ -170,24 +170,25 @@ def seen_payloads(spark: SparkSession, d: str) -> DataFrame:
     return met.select("wallet", "tx", F.length("props").alias("n"))
 
 
-def _components(spark: SparkSession, d: str) -> tuple[DataFrame, list, DataFrame]:
+def _components(spark: SparkSession, d: str) -> tuple[list, DataFrame]:
     scaled = K._scaled(spark, d, K.EXPLORED)
-    _, names, x = X.to_matrix(scaled)
-    axes = X.pca(x)[1]
-    return scaled, X.loadings(names, axes), X.scores_long(scaled, names, x, axes)
+    names = sorted(X.K.names_of(scaled))
+    _, mean, covariance = X.K.complete_covariance(scaled, names)
+    axes = X.principal(covariance)[1]
+    return X.loadings(names, axes), X.scores_wide(scaled, names, mean, axes)
 
 
 @query("pca_loadings")
 def pca_loadings(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(_components(spark, d)[1], "k long, feature string, loading double, family string, share double, dominant boolean")
+    return spark.createDataFrame(_components(spark, d)[0], "k long, feature string, loading double, family string, share double, dominant boolean")
 
 
 @query("pca_tails")
 def pca_tails(spark: SparkSession, d: str) -> DataFrame:
-    return X.tails(_components(spark, d)[2]).withColumnRenamed("component", "k")
+    return X.tails(_components(spark, d)[1]).withColumnRenamed("component", "k")
 
 
 @query("pca_activity")
 def pca_activity(spark: SparkSession, d: str) -> DataFrame:
     tx = order_stream(spark, d).groupBy("wallet").agg(F.count("*").cast("double").alias("level")).select("wallet", F.lit("transactions").alias("metric"), "level")
-    return X.activity_of_components(_components(spark, d)[2], tx).withColumnRenamed("component", "k")
+    return X.activity_of_components(_components(spark, d)[1], tx).withColumnRenamed("component", "k")

@@ -63,17 +63,15 @@ def shapes(tx: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells, locks and target cells of every transaction; external locks are those of a side that no target cell of it has."""
     side = lambda s: F.col("side") == s
     t = F.coalesce(F.col("target"), F.lit(False))
-    per = cells.groupBy("wallet", "tx").agg(
-        *[F.count_if(side(s)).alias(f"{s}_cells") for s in ("in", "out")], *[F.count_if(side(s) & t).alias(f"{s}_target") for s in ("in", "out")],
-        *[F.collect_set(F.when(side(s), F.col("lock"))).alias(f"{s}_locks") for s in ("in", "out")], *[F.collect_set(F.when(side(s) & t, F.col("lock"))).alias(f"{s}_own") for s in ("in", "out")],
+    counts = lambda f: [f(s, *k).alias(f"{s}_{k[0]}") for s in ("in", "out") for k in (("cells", F.lit(True)), ("target", t))]
+    locks = cells.groupBy("wallet", "tx", "lock").agg(*counts(lambda s, _, c: F.count_if(side(s) & c)))
+    known = F.col("lock").isNotNull()
+    per = locks.groupBy("wallet", "tx").agg(
+        *counts(lambda s, name, _: F.sum(f"{s}_{name}")), *[F.count_if(known & (F.col(f"{s}_cells") > 0)).alias(f"{s}_lock_count") for s in ("in", "out")],
+        *[F.count_if(known & (F.col(f"{s}_cells") > 0) & (F.col(f"{s}_target") == 0)).alias(f"{s}_external") for s in ("in", "out")],
     )
-    rows = tx.select("wallet", "tx", "ts", "idx").join(per, ["wallet", "tx"], "left")
-    zero = lambda c: F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))
-    made = ["wallet", "tx", "ts", "idx"]
-    for s in ("in", "out"):
-        made += [zero(F.col(f"{s}_cells")).alias(f"{s}_cells"), zero(F.col(f"{s}_target")).alias(f"{s}_target")]
-        made += [zero(F.size(f"{s}_locks")).alias(f"{s}_lock_count"), zero(F.size(F.array_except(f"{s}_locks", f"{s}_own"))).alias(f"{s}_external")]
-    return rows.select(*made)
+    names = [f"{s}_{k}" for s in ("in", "out") for k in ("cells", "target", "lock_count", "external")]
+    return tx.select("wallet", "tx", "ts", "idx").join(per, ["wallet", "tx"], "left").select("wallet", "tx", "ts", "idx", *[F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")).alias(c) for c in names])
 
 
 def topology(tx: DataFrame, cells: DataFrame) -> DataFrame:
@@ -106,12 +104,18 @@ def template_hashes(tx: DataFrame, cells: DataFrame) -> DataFrame:
     lock = _family_or_id(F.col("lock"), F.pmod(F.col("lock"), F.lit(5)).cast("int"), LOCK_FAMILIES)
     kind = _family_or_id(F.col("type"), F.col("type"), TYPE_FAMILIES)
     one = F.concat_ws(":", F.col("side"), lock, kind, F.when(F.col("asset").isNotNull(), "16").otherwise("0"))
-    own = Window.partitionBy("wallet", "tx", "side")
-    whole = F.when(F.count("capacity").over(own) == F.count("*").over(own), F.nullif(F.sum("capacity").over(own), F.lit(0)))
-    share = F.concat(F.col("side"), F.lit("="), F.bround(F.try_divide(100 * F.col("capacity"), whole), 0).cast("int"))
-    listed = cells.withColumn("one", one).withColumn("share", share).groupBy("wallet", "tx").agg(F.array_join(F.array_sort(F.collect_list("one")), ",").alias("ones"), F.array_join(F.array_sort(F.collect_list("share")), ",").alias("shares"))
-    per = shapes(tx, cells).join(listed, ["wallet", "tx"], "left")
-    text = F.concat_ws("|", F.col("in_cells"), F.col("out_cells"), F.col("in_target") > 0, F.col("out_target") > 0, F.coalesce("ones", F.lit("")), F.coalesce("shares", F.lit("")))
+    side, t = lambda s: F.col("side") == s, F.coalesce(F.col("target"), F.lit(False))
+    listed = cells.groupBy("wallet", "tx").agg(
+        *[F.count_if(side(s)).alias(f"{s}_cells") for s in ("in", "out")], *[F.count_if(side(s) & t).alias(f"{s}_target") for s in ("in", "out")],
+        *[F.nullif(F.sum(F.when(side(s), F.col("capacity"))), F.lit(0)).alias(f"{s}_total") for s in ("in", "out")], *[F.collect_list(F.when(side(s), F.col("capacity"))).alias(f"{s}_capacities") for s in ("in", "out")],
+        F.array_join(F.sort_array(F.collect_list(one)), ",").alias("ones"),
+    )
+    whole = lambda s: F.when(F.size(f"{s}_capacities") == F.col(f"{s}_cells"), F.col(f"{s}_total"))
+    share = lambda s: F.transform(F.col(f"{s}_capacities"), lambda c: F.concat(F.lit(f"{s}="), F.bround(F.try_divide(100 * c, whole(s)), 0).cast("int")))
+    listed = listed.withColumn("shares", F.array_join(F.sort_array(F.concat(share("in"), share("out"))), ","))
+    per = tx.select("wallet", "tx", "ts", "idx").join(listed, ["wallet", "tx"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    text = F.concat_ws("|", zero("in_cells"), zero("out_cells"), zero("in_target") > 0, zero("out_target") > 0, F.coalesce("ones", F.lit("")), F.coalesce("shares", F.lit("")))
     return per.select("wallet", "tx", "ts", "idx", F.sha2(text, 256).alias("template"))
 
 
