@@ -57,10 +57,10 @@ def hex_int(text: Column) -> Column:
 
 def u128(hex_text: Column) -> tuple[Column, Column]:
     """(high, low) halves as DECIMAL(20,0) of a little-endian 16-byte amount; NULL if fewer than 32 hex digits lead."""
-    digits = F.lower(F.regexp_replace(hex_text, "^0x", ""))
-    ok = digits.rlike("^[0-9a-f]{32}")
-    pair = lambda i: F.substring(digits, 2 * i + 1, 2)
-    half = lambda a: F.when(ok, F.conv(F.concat(*[pair(i) for i in range(a + 7, a - 1, -1)]), 16, 10).cast("decimal(20,0)"))
+    digits = F.when(F.startswith(hex_text, F.lit("0x")), hex_text.substr(F.lit(3), F.lit(32))).otherwise(hex_text.substr(F.lit(1), F.lit(32)))
+    number = lambda d, a: F.conv(F.concat(*[F.substring(d, 2 * i + 1, 2) for i in range(a + 7, a - 1, -1)]), 16, 10).cast("decimal(20,0)")
+    # a lambda's variable is computed once a row, however many pairs are cut from it
+    half = lambda a: F.get(F.transform(F.array(digits), lambda d: F.when(d.rlike("^[0-9a-fA-F]{32}$"), number(d, a))), F.lit(0))
     return half(8), half(0)
 
 
